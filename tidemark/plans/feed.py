@@ -29,7 +29,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_bronze(events_df: DataFrame) -> DataFrame:
     """Add raw, source_key, landed_at and dt to the rows of an events table."""
     n, user = F.col("event_id"), F.col("user_id")
-    padded = F.lpad(n.cast("string"), 8, "0")
+    digits = n.cast("string")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), "0")
     ts = F.col("ts").cast("timestamp")
     key = F.when(n % 97 == 0, "").otherwise(F.concat(F.lit("evt-"), padded))
     stamp = F.when(n % 107 == 0, "not-a-timestamp").otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX"))

@@ -7,21 +7,27 @@ repeating a redrive that died half-way moves at most the same batch again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import write_partitions
+
 MESSAGE_SCHEMA = "message_id STRING, body STRING, receive_count BIGINT, enqueued_at TIMESTAMP"
 DEFAULT_BATCH = 10
 PREVIEW = 240
 
 
-def append(messages: DataFrame, root: str) -> None:
+def append(messages: DataFrame, root: str, batch: str | None = None) -> None:
+    """Add messages; a named batch replaces itself, so repeating it adds nothing."""
     rows = messages.select("message_id", "body", "receive_count", "enqueued_at")
-    rows.write.mode("append").parquet(f"{root}/messages")
+    named = rows.withColumn("batch", F.lit(batch or f"manual-{uuid.uuid4().hex}"))
+    write_partitions(named, f"{root}/messages", ("batch",), rebalance=False)
 
 
 def waiting(spark: SparkSession, root: str) -> DataFrame:
-    messages = spark.read.schema(MESSAGE_SCHEMA).parquet(f"{root}/messages")
+    messages = spark.read.schema(f"{MESSAGE_SCHEMA}, batch STRING").parquet(f"{root}/messages").drop("batch")
     try:
         moved = spark.read.schema("message_id STRING").parquet(f"{root}/redriven")
     except Exception as error:

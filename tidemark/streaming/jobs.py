@@ -78,7 +78,7 @@ def drain_messages(
                 F.lit(1).cast("bigint").alias("receive_count"),
                 F.col("landed_at").alias("enqueued_at"),
             )
-            deadletter.append(poison, dlq_root)
+            deadletter.append(poison, dlq_root, f"stream-{batch_id}")
         finally:
             batch.unpersist()
 
@@ -98,7 +98,8 @@ def medallion(
 
     A batch owns the partition `batch` of both tables and replaces it, so running
     it again changes nothing. Gold days that the batch touched are recomputed
-    from all of Silver, late rows included.
+    from all of Silver, late rows included. The run log gets one version per
+    attempt; readers take the latest.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -121,7 +122,7 @@ def medallion(
             metrics = counts.select(F.to_json(F.struct("*"))).first()[0]
             run_id = f"silver-stream-{batch_id}"
             record = run_record(spark, run_id, "succeeded", started, "silver", "silver", datetime.now(tz=timezone.utc), metrics=metrics)
-            sinks.write_partitions(record, f"{root}/runs", ("run_id",), rebalance=False)
+            sinks.append_runs(record, f"{root}/runs")
         finally:
             rows.unpersist()
 
