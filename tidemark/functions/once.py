@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def evaluate_once(df: DataFrame, *columns: str) -> DataFrame:
@@ -15,5 +14,5 @@ def evaluate_once(df: DataFrame, *columns: str) -> DataFrame:
     over an array of one struct stays inside whole-stage codegen, so the parse
     runs once.
     """
-    names = columns or tuple(df.columns)
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{name}`") for name in names]))))
+    names = ", ".join(f"`{name}`" for name in columns or df.columns)
+    return df.selectExpr(f"inline(array(struct({names})))")

@@ -50,105 +50,104 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal that reads back as ``value``."""
+    escaped = "".join(
+        f"\\u{ord(c):04x}" if ord(c) < 32 or ord(c) > 126 else {"\\": "\\\\", "'": "\\'"}.get(c, c) for c in value
+    )
+    return f"'{escaped}'"
+
+
 class Field:
     """One field of a payload as plain columns: value, kind and, if wanted, text.
 
     They are projected first (`value_column`, then `detail_columns`), so the rules
     below only compare columns. That keeps the generated code small enough for
     the JVM to compile. A measure is seldom text, so its text is read on demand.
+    Rules are SQL texts: building a long expression call by call costs more than
+    planning it.
     """
 
     def __init__(self, name: str, textual: bool = True):
         self.name = name
-        self.value = F.col(f"_v_{name}")
-        self.kind = F.col(f"_k_{name}")
+        self.value = f"_v_{name}"
+        self.kind = f"_k_{name}"
         self.textual = textual
-        self.text = F.col(f"_t_{name}") if textual else F.try_variant_get(self.value, "$", "string")
+        self.text = f"_t_{name}" if textual else f"try_variant_get({self.value}, '$', 'string')"
+        self.trimmed = f"trim(BOTH {sql_text(WHITESPACE)} FROM {self.text})"
 
-    def value_column(self, payload: Column) -> Column:
-        return field(payload, self.name).alias(f"_v_{self.name}")
+    def value_column(self, payload: str) -> str:
+        return f"variant_get({payload}, '$.{self.name}', 'variant') AS {self.value}"
 
-    def detail_columns(self) -> list[Column]:
-        kinds = [kind(self.value).alias(f"_k_{self.name}")]
+    def detail_columns(self) -> list[str]:
+        label = f"schema_of_variant({self.value}) AS {self.kind}"
         if not self.textual:
-            return [self.value, *kinds]
-        return [*kinds, F.try_variant_get(self.value, "$", "string").alias(f"_t_{self.name}")]
-
-    @property
-    def present(self) -> Column:
-        return self.kind.isNotNull()
-
-    @property
-    def is_text(self) -> Column:
-        return F.coalesce(self.kind == "STRING", F.lit(False))
+            return [self.value, label]
+        return [label, f"try_variant_get({self.value}, '$', 'string') AS {self.text}"]
 
     @property
-    def as_text(self) -> Column:
+    def as_text(self) -> str:
         """The text of a JSON string; NULL for any other kind."""
-        return F.when(self.kind == "STRING", self.text)
+        return f"CASE WHEN {self.kind} = 'STRING' THEN {self.text} END"
 
     @property
-    def is_blank(self) -> Column:
+    def is_blank(self) -> str:
         """Absent, null, zero, false, an empty container, or white space only."""
-        return F.when(self.kind == "STRING", strip(self.text) == "").otherwise(
-            self.text.isNull() | self.text.isin(*BLANK_TEXTS)
+        blanks = ", ".join(sql_text(t) for t in BLANK_TEXTS)
+        return (
+            f"CASE WHEN {self.kind} = 'STRING' THEN {self.trimmed} = '' "
+            f"ELSE {self.text} IS NULL OR {self.text} IN ({blanks}) END"
         )
 
     @property
-    def integer(self) -> Column:
+    def integer(self) -> str:
         """Whole number: numbers truncate, text must be an integer, flags are 0/1.
 
         NULL when the value has no integer reading. An absent key counts as 0.
         """
-        trimmed = strip(self.text)
-        spelled = F.when(trimmed.rlike(INTEGER_TEXT), F.translate(trimmed, "_", "").try_cast("bigint"))
+        spelled = f"CASE WHEN {self.trimmed} RLIKE {sql_text(INTEGER_TEXT)} THEN try_cast(translate({self.trimmed}, '_', '') AS BIGINT) END"
         return (
-            F.when(self.kind.isNull(), F.lit(0).cast("bigint"))
-            .when(self.kind == "STRING", spelled)
-            .otherwise(F.try_variant_get(self.value, "$", "bigint"))
+            f"CASE WHEN {self.kind} IS NULL THEN 0L WHEN {self.kind} = 'STRING' THEN {spelled} "
+            f"ELSE try_variant_get({self.value}, '$', 'bigint') END"
         )
 
     @property
-    def double(self) -> Column:
+    def double(self) -> str:
         """Number, flag or numeric text; NULL otherwise, 0 when absent."""
-        trimmed = strip(self.text)
-        spelled = F.when(trimmed.rlike(FLOAT_TEXT), F.translate(trimmed, "_", "").try_cast("double"))
+        spelled = f"CASE WHEN {self.trimmed} RLIKE {sql_text(FLOAT_TEXT)} THEN try_cast(translate({self.trimmed}, '_', '') AS DOUBLE) END"
         return (
-            F.when(self.kind.isNull(), F.lit(0.0))
-            .when(self.kind == "STRING", spelled)
-            .otherwise(F.try_variant_get(self.value, "$", "double"))
+            f"CASE WHEN {self.kind} IS NULL THEN 0D WHEN {self.kind} = 'STRING' THEN {spelled} "
+            f"ELSE try_variant_get({self.value}, '$', 'double') END"
         )
 
-    def is_whole(self, integer: Column) -> Column:
+    def is_whole(self, integer: str) -> str:
         """The number has no fraction part (text was checked by `integer`)."""
-        return (self.kind == "STRING") | (F.try_variant_get(self.value, "$", "double") == integer)
+        return f"({self.kind} = 'STRING' OR try_variant_get({self.value}, '$', 'double') = {integer})"
 
     @property
-    def is_iso(self) -> Column:
-        return F.coalesce((self.kind == "STRING") & self.text.rlike(ISO_TEXT), F.lit(False))
+    def is_iso(self) -> str:
+        return f"coalesce({self.kind} = 'STRING' AND {self.text} RLIKE {sql_text(ISO_TEXT)}, false)"
 
-    def instant(self, is_iso: Column) -> Column:
+    def instant(self, is_iso: str) -> str:
         """Timestamp from ISO text (no offset means UTC) or an epoch number."""
-        number = self.text.try_cast("double")
-        countable = F.when(self.kind == "STRING", self.text.rlike(EPOCH_TEXT)).otherwise(
-            self.kind.startswith("DECIMAL") | self.kind.isin("BIGINT", "DOUBLE")
+        clock = f"translate(upper(substring({self.text}, 12)), ',', '.')"
+        seconds = f"regexp_replace({clock}, '^([0-9][0-9]:[0-9][0-9])([Z+-]|$)', '$1:00$2')"
+        offset = f"regexp_replace({seconds}, '([+-][0-9][0-9])([0-9][0-9])$', '$1:$2')"
+        plain = f"concat(substring({self.text}, 1, 10), 'T', {offset})"
+        number = f"try_cast({self.text} AS DOUBLE)"
+        countable = (
+            f"CASE WHEN {self.kind} = 'STRING' THEN {self.text} RLIKE {sql_text(EPOCH_TEXT)} "
+            f"ELSE {self.kind} IN ('BIGINT', 'DOUBLE') OR startswith({self.kind}, 'DECIMAL') END"
+        )
+        scale = f"CASE WHEN abs({number}) > {EPOCH_MS_ABOVE:.0f}D THEN 1000D ELSE 1000000D END"
+        return (
+            f"CASE WHEN {is_iso} THEN coalesce(try_to_timestamp({self.text}), try_to_timestamp({plain})) "
+            f"WHEN {countable} THEN timestamp_micros(try_cast(round({number} * {scale}) AS BIGINT)) END"
         )
-        scale = F.when(F.abs(number) > EPOCH_MS_ABOVE, 1000.0).otherwise(1000000.0)
-        return F.when(
-            is_iso, F.coalesce(F.try_to_timestamp(self.text), F.try_to_timestamp(_plain_iso(self.text)))
-        ).when(countable, F.timestamp_micros(F.round(number * scale).try_cast("bigint")))
 
-    def local_day(self, is_iso: Column, instant: Column) -> Column:
+    def local_day(self, is_iso: str, instant: str) -> str:
         """Calendar day in the event's own offset: the ISO text says it directly."""
-        return F.when(is_iso, F.substring(self.text, 1, 10)).otherwise(F.date_format(instant, "yyyy-MM-dd"))
-
-
-def _plain_iso(text: Column) -> Column:
-    """The spelling Spark reads: T, upper-case Z, a point, a colon in the offset."""
-    clock = F.translate(F.upper(F.substring(text, 12, 64)), ",", ".")
-    return F.concat(
-        F.substring(text, 1, 10), F.lit("T"), F.regexp_replace(clock, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    )
+        return f"CASE WHEN {is_iso} THEN substring({self.text}, 1, 10) ELSE date_format({instant}, 'yyyy-MM-dd') END"
 
 
 def parse_document(raw: Column) -> Column:

@@ -18,10 +18,6 @@ from tidemark.schemas import (
 )
 
 
-def _known_type(event_type: Column) -> Column:
-    return F.coalesce(P.strip(event_type).isin(*EVENT_TYPES), F.lit(False))
-
-
 def inspect(
     bronze: DataFrame, raw: str = "raw", keep: tuple[str, ...] | None = None, gate: bool = True
 ) -> DataFrame:
@@ -32,73 +28,70 @@ def inspect(
     failing rule, NULL when accepted) and, with ``gate``, `checks` (every failed
     gate check).
     """
-    carried = tuple(bronze.columns) if keep is None else keep
+    carried = list(bronze.columns if keep is None else keep)
     fields = {name: P.Field(name, name not in ("quantity", "amount_usd")) for name in EVENT_COLUMNS}
     when, quantity, amount, country = (fields[n] for n in ("event_ts", "quantity", "amount_usd", "country"))
+    texts = [fields[n] for n in ("event_id", "event_type", "user_id", "sku")]
+    known = ", ".join(P.sql_text(t) for t in EVENT_TYPES)
+
     text = F.col(raw)
-    frame = bronze.withColumns({"_empty": P.is_empty_object(text), "_payload": P.parse_object(text)})
-    frame = frame.select(*carried, "_empty", *[f.value_column(F.col("_payload")) for f in fields.values()])
+    frame = bronze.select(*carried, P.is_empty_object(text).alias("_empty"), P.parse_object(text).alias("_payload"))
+    frame = frame.selectExpr(*carried, "_empty", *[f.value_column("_payload") for f in fields.values()])
     details = [column for f in fields.values() for column in f.detail_columns()]
-    frame = frame.select(*carried, "_empty", *details)
-    frame = frame.withColumns({"_iso": when.is_iso, "quantity": quantity.integer, "amount_usd": amount.double})
-    frame = frame.withColumn("event_ts", when.instant(F.col("_iso")))
-    frame = frame.select(
+    frame = frame.selectExpr(*carried, "_empty", *details)
+    frame = frame.selectExpr(
+        "*", f"{when.is_iso} AS _iso", f"{quantity.integer} AS quantity", f"{amount.double} AS amount_usd"
+    )
+    frame = frame.selectExpr("*", f"{when.instant('_iso')} AS event_ts")
+    frame = frame.selectExpr(
         *carried,
         "_empty",
         "event_ts",
         "quantity",
         "amount_usd",
-        *[fields[name].as_text.alias(name) for name in ("event_id", "event_type", "user_id", "sku")],
-        F.when(country.kind.isNull(), F.lit(DEFAULT_COUNTRY)).otherwise(country.as_text).alias("country"),
-        when.local_day(F.col("_iso"), F.col("event_ts")).alias("dt"),
-        (~fields["event_id"].is_blank).alias("_has_id"),
-        *([(~fields["user_id"].is_blank & ~fields["sku"].is_blank).alias("_has_dims")] if gate else []),
-        (quantity.present & amount.present & F.coalesce(quantity.is_whole(F.col("quantity")), F.lit(False))).alias(
-            "_measures_typed"
-        ),
+        *[f"{f.as_text} AS {f.name}" for f in texts],
+        f"CASE WHEN {country.kind} IS NULL THEN {P.sql_text(DEFAULT_COUNTRY)} ELSE {country.as_text} END AS country",
+        f"{when.local_day('_iso', 'event_ts')} AS dt",
+        f"NOT {fields['event_id'].is_blank} AS _has_id",
+        *([f"NOT ({fields['user_id'].is_blank}) AND NOT ({fields['sku'].is_blank}) AS _has_dims"] if gate else []),
+        f"{quantity.kind} IS NOT NULL AND {amount.kind} IS NOT NULL "
+        f"AND coalesce({quantity.is_whole('quantity')}, false) AS _measures_typed",
+        f"coalesce(trim(BOTH {P.sql_text(P.WHITESPACE)} FROM {fields['event_type'].as_text}) IN ({known}), false) AS _known",
     )
-    numeric = F.col("quantity").isNotNull() & F.col("amount_usd").isNotNull()
-    schema_ok = (
-        F.col("event_id").isNotNull()
-        & F.col("event_ts").isNotNull()
-        & F.col("event_type").isNotNull()
-        & F.col("user_id").isNotNull()
-        & F.col("sku").isNotNull()
-        & F.col("country").isNotNull()
-        & F.col("_measures_typed")
-        & F.coalesce(F.col("quantity") >= 0, F.lit(False))
-        & F.coalesce((F.col("amount_usd") >= 0) & ~F.isnan("amount_usd"), F.lit(False))
+    frame = frame.selectExpr(
+        "*",
+        "quantity IS NOT NULL AND amount_usd IS NOT NULL AS _numeric",
+        """event_id IS NOT NULL AND event_ts IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL
+           AND sku IS NOT NULL AND country IS NOT NULL AND _measures_typed AND coalesce(quantity >= 0, false)
+           AND coalesce(amount_usd >= 0 AND NOT isnan(amount_usd), false) AS _schema_ok""",
     )
-    frame = frame.withColumns(
-        {
-            "_known": _known_type(F.col("event_type")),
-            "_numeric": numeric,
-            "_schema_ok": schema_ok,
-        }
-    )
-    reason = (
-        F.when(F.col("_empty"), "empty_record")
-        .when(~F.col("_has_id"), "missing_event_id")
-        .when(~F.col("_known"), "unknown_event_type")
-        .when(~F.col("_numeric"), "non_numeric_measures")
-        .when(F.col("quantity") <= 0, "non_positive_quantity")
-        .when(F.col("amount_usd") < 0, "negative_amount")
-        .when(~F.col("_schema_ok"), "schema_invalid")
-    )
-    verdict = {"reason": reason}
+    verdict = {
+        "reason": """CASE WHEN _empty THEN 'empty_record'
+             WHEN NOT _has_id THEN 'missing_event_id'
+             WHEN NOT _known THEN 'unknown_event_type'
+             WHEN NOT _numeric THEN 'non_numeric_measures'
+             WHEN quantity <= 0 THEN 'non_positive_quantity'
+             WHEN amount_usd < 0 THEN 'negative_amount'
+             WHEN NOT _schema_ok THEN 'schema_invalid' END"""
+    }
     if gate:
-        verdict["checks"] = failed_names(
+        verdict["checks"] = failed_names_sql(
             {
-                "event_id_present": ~F.col("_has_id"),
-                "known_event_type": ~F.col("_known"),
-                "required_dimensions": ~F.col("_has_dims"),
-                "quantity_and_amount_sane": ~F.col("_numeric")
-                | (F.col("quantity") <= 0)
-                | (F.col("amount_usd") < 0),
-                "schema_valid": ~F.col("_schema_ok"),
+                "event_id_present": "NOT _has_id",
+                "known_event_type": "NOT _known",
+                "required_dimensions": "NOT _has_dims",
+                "quantity_and_amount_sane": "NOT _numeric OR quantity <= 0 OR amount_usd < 0",
+                "schema_valid": "NOT _schema_ok",
             }
         )
-    return evaluate_once(frame.withColumns(verdict), *carried, *EVENT_COLUMNS, "dt", *verdict)
+    frame = frame.selectExpr("*", *[f"{rule} AS {name}" for name, rule in verdict.items()])
+    return evaluate_once(frame, *carried, *EVENT_COLUMNS, "dt", *verdict)
+
+
+def failed_names_sql(faults: dict[str, str]) -> str:
+    """SQL of an array with the names of the faults that hold, in order."""
+    flags = ", ".join(f"CASE WHEN {fault} THEN {P.sql_text(name)} END" for name, fault in faults.items())
+    return f"filter(array({flags}), name -> name IS NOT NULL)"
 
 
 def failed_names(faults: dict[str, Column]) -> Column:

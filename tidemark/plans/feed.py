@@ -8,9 +8,9 @@ fault, so every rejection reason occurs at a known rate.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.operators import cleanse as C
+from tidemark.session import spread
 
 # Fixed parameters of the derived data set.
 WATERMARK = "2024-01-16T00:00:00Z"
@@ -28,45 +28,30 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_bronze(events_df: DataFrame) -> DataFrame:
     """Add raw, source_key, landed_at and dt to the rows of an events table."""
-    n, user = F.col("event_id"), F.col("user_id")
-    digits = n.cast("string")
-    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), "0")
-    ts = F.col("ts").cast("timestamp")
-    key = F.when(n % 97 == 0, "").otherwise(F.concat(F.lit("evt-"), padded))
-    stamp = F.when(n % 107 == 0, "not-a-timestamp").otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    stamp = F.replace(stamp, F.lit("Z"), F.lit("+00:00"))
-    event_type = (
-        F.when(F.col("event_type") == "view", "page_view")
-        .when(F.col("event_type") == "click", "add_to_cart")
-        .when(F.col("event_type") == "signup", "refund")
-        .otherwise(F.col("event_type"))
-    )
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    quantity = F.when(n % 101 == 0, '"two"').otherwise((k % 6).cast("string"))
-    amount = F.when(n % 103 == 0, -F.col("value")).otherwise(F.col("value"))
-    country = F.element_at(F.array(*[F.lit(c) for c in ("US", "DE", "IN", "BR", "JP")]), (user % 5 + 1).cast("int"))
-    who = F.when(n % 109 == 0, "").otherwise(F.concat(F.lit("user-"), F.lpad(user.cast("string"), 4, "0")))
-    text = F.concat(
-        F.lit('{"event_id":"'), key,
-        F.lit('","event_ts":"'), stamp,
-        F.lit('","event_type":"'), event_type,
-        F.lit('","user_id":"'), who,
-        F.lit('","sku":"SKU-'), ((n % 4 + 1) * 100).cast("string"),
-        F.lit('","quantity":'), quantity,
-        F.lit(',"amount_usd":'), amount.cast("string"),
-        F.lit(',"country":"'), country,
-        F.lit('"}'),
-    )
-    day = F.date_format(ts, "yyyy-MM-dd")
-    return events_df.select(
-        F.when(n % 113 == 0, "{}").otherwise(text).alias("raw"),
-        F.concat(F.lit("events/dt="), day, F.lit("/evt-"), padded, F.lit(".json")).alias("source_key"),
-        ts.alias("landed_at"),
+    padded = "lpad(CAST(event_id AS STRING), greatest(length(CAST(event_id AS STRING)), 8), '0')"
+    text = f"""concat(
+        '{{"event_id":"', CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('evt-', {padded}) END,
+        '","event_ts":"', CASE WHEN event_id % 107 = 0 THEN 'not-a-timestamp'
+                               ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'") END,
+        '","event_type":"', CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'add_to_cart'
+                                            WHEN 'signup' THEN 'refund' ELSE event_type END,
+        '","user_id":"', CASE WHEN event_id % 109 = 0 THEN '' ELSE concat('user-',
+              lpad(CAST(user_id AS STRING), greatest(length(CAST(user_id AS STRING)), 4), '0')) END,
+        '","sku":"SKU-', (event_id % 4 + 1) * 100,
+        '","quantity":', CASE WHEN event_id % 101 = 0 THEN '"two"'
+                              ELSE CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6 AS STRING) END,
+        ',"amount_usd":', CASE WHEN event_id % 103 = 0 THEN -value ELSE value END,
+        ',"country":"', element_at(array('US', 'DE', 'IN', 'BR', 'JP'), CAST(user_id % 5 + 1 AS INT)),
+        '"}}')"""
+    return events_df.selectExpr(
+        f"CASE WHEN event_id % 113 = 0 THEN '{{}}' ELSE {text} END AS raw",
+        f"concat('events/dt=', date_format(ts, 'yyyy-MM-dd'), '/evt-', {padded}, '.json') AS source_key",
+        "CAST(ts AS TIMESTAMP) AS landed_at",
     )
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_bronze(events(spark, sf_dir))
+    return with_bronze(spread(events(spark, sf_dir)))
 
 
 def cleansed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), gate: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import reports
+from tidemark.plans import operations, reports
 from tidemark.plans.reports import Report
 
+__all__ = ["operations", "oracle_sql", "queries"]
+
 
 def queries() -> dict[str, Report]:
     return dict(reports.REPORTS)

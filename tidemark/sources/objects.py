@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def inventory(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Path, last write and size of every object below a prefix; no content is read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    """Path, last write and size of every object below a prefix; no content is read.
+
+    Objects deleted after the listing are skipped when the frame is evaluated.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(root).select("path", "modificationTime", "length")

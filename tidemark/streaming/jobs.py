@@ -40,8 +40,8 @@ def record_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_P
 
 
 def message_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Queue messages as raw text, a few files per batch."""
-    reader = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch)
+    """Queue messages, one text line each, a few files per batch."""
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path).select(
         F.col("value").alias("raw"),
         F.col("_metadata.file_path").alias("source_key"),
