@@ -24,11 +24,12 @@ def inspect(
     """Typed fields and verdict of each raw record, parsed once per row.
 
     Unknown fields are dropped. ``keep`` names the input columns to carry; all of
-    them by default. The result has one row per input row, with `reason` (first
+    them by default, but for those the record itself gives. The result has one row per input row, with `reason` (first
     failing rule, NULL when accepted) and, with ``gate``, `checks` (every failed
     gate check).
     """
-    carried = list(bronze.columns if keep is None else keep)
+    derived = {*EVENT_COLUMNS, "dt", "reason", "checks"}
+    carried = [c for c in (bronze.columns if keep is None else keep) if c not in derived]
     fields = {name: P.Field(name, name not in ("quantity", "amount_usd")) for name in EVENT_COLUMNS}
     when, quantity, amount, country = (fields[n] for n in ("event_ts", "quantity", "amount_usd", "country"))
     texts = [fields[n] for n in ("event_id", "event_type", "user_id", "sku")]

@@ -10,6 +10,7 @@ def inventory(spark: SparkSession, root: str, pattern: str | None = None) -> Dat
     """Path, last write and size of every object below a prefix; no content is read.
 
     Objects deleted after the listing are skipped when the frame is evaluated.
+    Spark's file sources pass over objects of zero bytes.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if pattern:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.payload import strip
+
 RECORD_SCHEMA = "key STRING, data STRING"
 
 
@@ -29,10 +31,10 @@ def decode(data: Column) -> Column:
 
     Base64 written by Spark breaks lines, so white space inside is ignored.
     """
-    trimmed = F.trim(data)
+    trimmed = strip(data)
     packed = F.regexp_replace(trimmed, r"[\r\n]", "")
     binary = F.when(packed.rlike(r"^[A-Za-z0-9+/]+={0,2}$"), F.try_to_binary(packed, F.lit("base64")))
-    return F.trim(F.coalesce(F.try_validate_utf8(binary.cast("string")), trimmed))
+    return strip(F.coalesce(F.try_validate_utf8(binary.cast("string")), trimmed))
 
 
 def publish(events: DataFrame, path: str, newline: bool = False) -> None:
