@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import payload as P
 from tidemark.functions.once import evaluate_once
 from tidemark.schemas import TYPE_WIDENS_TO
+from tidemark.session import materialize
 
 
 def _matches(value: Column, label: Column, type_: str) -> Column:
@@ -86,49 +87,60 @@ def data_profile(
     required when present and not null in every record. ``enum_fields`` get the
     set of their values when at most ``max_enum`` differ; more make a free field.
     """
-    docs = evaluate_once(rows.select(P.parse_document(F.col(raw)).alias("doc")))
-    docs = docs.filter(P.kind(F.col("doc")).startswith("OBJECT"))
-    fields = F.try_variant_get("doc", "$", "map<string,variant>")
-    items = docs.select(F.explode(fields).alias("field", "value"))
-    label = P.kind(F.col("value"))
-    text = F.try_variant_get("value", "$", "string")
-    type_ = (
-        F.when(label == "VOID", F.lit(None).cast("string"))
-        .when(label == "BIGINT", "integer")
-        .when(label.startswith("DECIMAL") | label.isin("DOUBLE", "FLOAT"), "number")
-        .when(label == "BOOLEAN", "boolean")
-        .when((label == "STRING") & text.rlike(P.ISO_TEXT) & text.contains("T"), "datetime")
-        .when((label == "STRING") & text.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
-        .when(label == "STRING", "string")
-        .otherwise("object")
-    )
-    seen = items.select("field", type_.alias("type"), text.alias("value"))
+    cells = materialize(_profile_cells(rows, raw, enum_fields), "profile")
     types = F.array_sort(F.collect_set("type"))
-    by_field = seen.groupBy("field").agg(F.count("type").alias("present"), types.alias("types"))
+    by_field = cells.filter(F.col("field").isNotNull()).groupBy("field").agg(
+        F.sum(F.when(F.col("type").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("present"), types.alias("types")
+    )
     widest = (
         F.when(F.size("types") == 1, F.col("types")[0])
         .when(F.col("types") == F.array(F.lit("integer"), F.lit("number")), "number")
         .when(F.col("types") == F.array(F.lit("date"), F.lit("datetime")), "datetime")
         .otherwise("string")
     )
-    records = docs.agg(F.count(F.lit(1)).alias("n"))
+    records = cells.filter(F.col("field").isNull()).agg(F.sum("n").alias("n"))
     profile = by_field.select(
         "field", widest.alias("type"), (F.col("present") == records.scalar()).alias("required")
     )
     if not enum_fields:
         return profile.withColumn("enum", F.lit(None).cast("array<string>"))
-    return profile.join(_enumerations(seen, enum_fields, max_enum), "field", "left")
+    return profile.join(_enumerations(cells, max_enum), "field", "left")
+
+
+def _profile_cells(rows: DataFrame, raw: str, enum_fields: tuple[str, ...]) -> DataFrame:
+    """Records per (field, type, enumerated value), from one pass over the JSON.
+
+    Each record adds one cell without a field, so the record count comes along.
+    """
+    docs = evaluate_once(rows.select(P.parse_object(F.col(raw)).alias("doc"))).filter(F.col("doc").isNotNull())
+    entries = F.map_entries(F.try_variant_get("doc", "$", "map<string,variant>"))
+    whole = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))
+    items = docs.select(F.inline(F.concat(F.array(whole), entries))).select(
+        F.col("key").alias("field"), "value", P.kind(F.col("value")).alias("label")
+    )
+    label, text = F.col("label"), F.try_variant_get("value", "$", "string")
+    type_ = (
+        F.when(label == "BIGINT", "integer")
+        .when(label.startswith("DECIMAL") | label.isin("DOUBLE", "FLOAT"), "number")
+        .when(label == "BOOLEAN", "boolean")
+        .when((label == "STRING") & text.rlike(P.ISO_TEXT) & text.contains("T"), "datetime")
+        .when((label == "STRING") & text.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
+        .when(label == "STRING", "string")
+        .when(label != "VOID", "object")
+    )
+    listed = F.col("field").isin(*enum_fields) if enum_fields else F.lit(False)
+    return items.groupBy("field", type_.alias("type"), F.when(listed, text).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _enumerations(seen: DataFrame, enum_fields: tuple[str, ...], max_enum: int) -> DataFrame:
-    """Sorted value set of each field with few enough values.
+def _enumerations(cells: DataFrame, max_enum: int) -> DataFrame:
+    """Sorted value set of each enumerated field with few enough values.
 
     The rank limit applies on the map side too, so a field with very many values
     sends at most ``max_enum`` + 1 of them per task.
     """
-    values = seen.filter(F.col("field").isin(*enum_fields) & F.col("value").isNotNull())
     rank = F.row_number().over(Window.partitionBy("field").orderBy("value"))
-    few = values.select("field", "value").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= max_enum + 1)
+    values = cells.filter(F.col("value").isNotNull()).select("field", "value").distinct()
+    few = values.withColumn("_rank", rank).filter(F.col("_rank") <= max_enum + 1)
     sets = few.groupBy("field").agg(F.array_sort(F.collect_set("value")).alias("enum"))
     return sets.filter(F.size("enum") <= max_enum)
 

@@ -4,25 +4,42 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.days import age_days, as_day, parse_instant
-from tidemark.schemas import MAINTENANCE_POLICY
+
+
+def _per_dataset(setting: int | dict[str, int], least: int) -> Column:
+    """A limit for all rows, or one looked up by the row's dataset."""
+    if isinstance(setting, dict):
+        pairs = [F.lit(x) for name, value in setting.items() for x in (name, max(int(value), least))]
+        return F.try_element_at(F.create_map(*pairs), F.col("dataset"))
+    return F.lit(max(int(setting), least))
+
+
+def _labelled(partitions: DataFrame, dataset: str | None) -> DataFrame:
+    return partitions if dataset is None else partitions.select(F.lit(dataset).alias("dataset"), *partitions.columns)
 
 
 def expire_partitions(
-    partitions: DataFrame, as_of: datetime | date | str, retention_days: int, dataset: str
+    partitions: DataFrame,
+    as_of: datetime | date | str,
+    retention_days: int | dict[str, int],
+    dataset: str | None = None,
 ) -> DataFrame:
-    """Keep or expire each dt partition; the cutoff day itself is kept."""
+    """Keep or expire each dt partition; the cutoff day itself is kept.
+
+    Either ``dataset`` names the one all rows belong to, or the rows carry a
+    `dataset` column and ``retention_days`` maps each to its days.
+    """
     today = F.lit(as_day(as_of))
-    cutoff = F.date_sub(today, max(int(retention_days), 0))
+    cutoff = F.date_sub(today, _per_dataset(retention_days, 0))
     day = F.to_date(F.try_to_timestamp(F.col("dt"), F.lit("yyyy-MM-dd")))
-    dated = partitions.withColumn("_day", day).filter(F.col("_day").isNotNull())
+    dated = _labelled(partitions, dataset).withColumn("_day", day).filter(F.col("_day").isNotNull())
     expired = F.col("_day") < cutoff
     return dated.select(
-        F.lit(dataset).alias("dataset"),
-        *partitions.columns,
+        *[c for c in dated.columns if c != "_day"],
         F.datediff(today, F.col("_day")).cast("bigint").alias("age_days"),
         F.date_format(cutoff, "yyyy-MM-dd").alias("cutoff"),
         F.when(expired, "expire").otherwise("keep").alias("action"),
@@ -48,45 +65,43 @@ def expire_objects(
     )
 
 
-def compact_plan(partitions: DataFrame, max_objects: int, dataset: str) -> DataFrame:
+def compact_plan(
+    partitions: DataFrame, max_objects: int | dict[str, int], dataset: str | None = None
+) -> DataFrame:
     """Compact partitions holding more than ``max_objects``; equality keeps."""
-    budget = max(int(max_objects), 1)
-    return partitions.select(
-        F.lit(dataset).alias("dataset"),
-        *partitions.columns,
-        F.lit(budget).cast("bigint").alias("max_objects"),
+    budget = _per_dataset(max_objects, 1).cast("bigint")
+    return _labelled(partitions, dataset).select(
+        "*",
+        budget.alias("max_objects"),
         F.when(F.col("objects") > budget, "compact").otherwise("keep").alias("action"),
     )
 
 
-def plan_counts(expire: DataFrame, compact: DataFrame) -> DataFrame:
-    """Summed expire and compact counters of several zone plans."""
-    both = expire.select("dataset", "action").unionByName(compact.select("dataset", "action"))
-    return both.groupBy("dataset").agg(
-        F.count_if(F.col("action") == "expire").alias("expire_count"),
-        F.count_if(F.col("action") == "compact").alias("compact_count"),
-    )
-
-
 def zone_plan(
     partitions: DataFrame,
-    dataset: str,
     as_of: datetime | date | str,
-    retention_days: int | None = None,
-    max_objects: int | None = None,
+    retention_days: int | dict[str, int],
+    max_objects: int | dict[str, int],
+    dataset: str | None = None,
 ) -> DataFrame:
-    """Expire first, then compact what remains, as one action per partition."""
-    _, columns, days, objects = MAINTENANCE_POLICY[dataset]
-    days = days if retention_days is None else retention_days
-    limit = max(objects if max_objects is None else int(max_objects), 1)
-    too_many = F.col("objects") > limit
-    if "dt" not in columns:
-        return partitions.select(
-            F.lit(dataset).alias("dataset"),
-            *partitions.columns,
-            F.when(too_many, "compact").otherwise("keep").alias("action"),
-        )
-    planned = expire_partitions(partitions, as_of, days, dataset)
-    return planned.withColumn(
-        "action", F.when(F.col("action") == "expire", "expire").when(too_many, "compact").otherwise("keep")
+    """Expire first, then compact what remains, as one action per partition.
+
+    Partitions without a day never expire here; their objects expire by age.
+    """
+    rows = _labelled(partitions, dataset)
+    day = F.lit(None).cast("date")
+    if "dt" in rows.columns:
+        day = F.to_date(F.try_to_timestamp(F.col("dt"), F.lit("yyyy-MM-dd")))
+    cutoff = F.date_sub(F.lit(as_day(as_of)), _per_dataset(retention_days, 0))
+    crowded = F.col("objects") > _per_dataset(max_objects, 1)
+    return rows.withColumn(
+        "action", F.when(day < cutoff, "expire").when(crowded, "compact").otherwise("keep")
+    )
+
+
+def plan_counts(plan: DataFrame) -> DataFrame:
+    """Expire and compact counters of a plan, per dataset."""
+    return plan.groupBy("dataset").agg(
+        F.count_if(F.col("action") == "expire").alias("expire_count"),
+        F.count_if(F.col("action") == "compact").alias("compact_count"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.days import age_hours, parse_instant
@@ -124,9 +124,9 @@ def path_ratios(edges: DataFrame) -> DataFrame:
     )
     spread = edges.select(weight.alias("weight"), F.inline(cuts)).filter(F.col("path").isNotNull())
     by_path = spread.groupBy("cut", "path").agg(F.sum("weight").alias("weight"))
-    by_cut = spread.groupBy("cut").agg(F.sum("weight").alias("total"))
+    total = F.sum("weight").over(Window.partitionBy("cut"))
     share = F.when(F.col("total") <= 0, F.lit(0.0)).otherwise(F.round(F.col("weight") / F.col("total"), 4))
-    return by_path.join(F.broadcast(by_cut), "cut").select("cut", "path", "weight", "total", share.alias("ratio"))
+    return by_path.withColumn("total", total).select("cut", "path", "weight", "total", share.alias("ratio"))
 
 
 def ratio_alert(

@@ -372,23 +372,30 @@ def ratio_alert(spark, sf):
 MAINTENANCE_AS_OF = "2024-02-15"
 
 
-def _inventories(spark, sf) -> dict[str, DataFrame]:
-    """Objects per partition of each zone, one object per stored record."""
-    rows = feed.cleansed(spark, sf, ("source_key",))
-    bronze = PT.objects_per_partition(feed.bronze(spark, sf).select(F.col("source_key").alias("path")), ("dt",))
-    silver_keys = C.accepted(rows).select(K.silver_key(F.col("event_type"), F.col("dt"), F.col("event_id")).alias("path"))
-    rejected = C.quarantined(rows).select(K.silver_quarantine_key(F.col("reason"), F.col("event_id")).alias("path"))
-    gold = G.daily_metrics(C.accepted(rows), ordered=False).select(K.gold_key(F.col("event_type"), F.col("dt")).alias("path"))
-    return {
-        "bronze.raw_events": bronze,
-        "silver.cleaned_events": PT.objects_per_partition(silver_keys, ("event_type", "dt")),
-        "silver.quarantine": PT.objects_per_partition(rejected, ("reason",)),
-        "gold.daily_metrics": PT.objects_per_partition(gold, ("metric", "dt")),
-    }
-
+def _inventory(spark, sf) -> DataFrame:
+    """Objects per partition of every zone, one object per stored record.
 
-def _partition_name(*columns: str):
-    return F.concat_ws("/", *columns).alias("partition")
+    One pass over the records names each record's Bronze key and its Silver or
+    quarantine key; Gold has one object per Silver partition.
+    """
+    rows = feed.cleansed(spark, sf, ("source_key",))
+    ok = F.col("reason").isNull()
+    stored = F.struct(
+        F.when(ok, "silver.cleaned_events").otherwise("silver.quarantine").alias("dataset"),
+        F.when(ok, K.silver_key(F.col("event_type"), F.col("dt"), F.col("event_id")))
+        .otherwise(K.silver_quarantine_key(F.col("reason"), F.col("event_id")))
+        .alias("path"),
+    )
+    landed = F.struct(F.lit("bronze.raw_events").alias("dataset"), F.col("source_key").alias("path"))
+    keys = rows.select(F.inline(F.array(landed, stored)))
+    counted = keys.groupBy(
+        "dataset", *[K.hive_value(F.col("path"), c).alias(c) for c in ("reason", "event_type", "dt")]
+    ).agg(F.count(F.lit(1)).alias("objects"))
+    name = F.concat_ws("/", "reason", "event_type", "dt")
+    own = F.struct("dataset", name.alias("partition"), "dt", "objects")
+    gold = F.struct(F.lit("gold.daily_metrics").alias("dataset"), name.alias("partition"), F.col("dt"), F.lit(1).cast("bigint").alias("objects"))
+    with_gold = F.when(F.col("dataset") == "silver.cleaned_events", F.array(own, gold)).otherwise(F.array(own))
+    return counted.select(F.inline(with_gold))
 
 
 INVENTORY_SQL = """inventory AS (
@@ -408,19 +415,8 @@ planned AS (
   FROM inventory i JOIN rules r ON r.dataset = i.dataset)"""
 
 # Days kept and most objects, set so that every outcome occurs in the test data.
-RULES = {
-    "bronze.raw_events": (30, 8),
-    "silver.cleaned_events": (20, 52),
-    "silver.quarantine": (14, 100),
-    "gold.daily_metrics": (40, 2),
-}
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole
+DAYS_KEPT = {"bronze.raw_events": 30, "silver.cleaned_events": 20, "silver.quarantine": 14, "gold.daily_metrics": 40}
+MOST_OBJECTS = {"bronze.raw_events": 8, "silver.cleaned_events": 52, "silver.quarantine": 100, "gold.daily_metrics": 2}
 
 
 @report(
@@ -430,14 +426,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     INVENTORY_SQL,
 )
 def expire_plan(spark, sf):
-    plans = []
-    for dataset, present in _inventories(spark, sf).items():
-        if "dt" not in present.columns:
-            continue
-        names = [c for c in present.columns if c not in ("objects", "bytes")]
-        plan = M.expire_partitions(present, MAINTENANCE_AS_OF, RULES[dataset][0], dataset)
-        plans.append(plan.select("dataset", _partition_name(*names), "age_days", "cutoff", "action"))
-    return _union(plans)
+    plan = M.expire_partitions(_inventory(spark, sf), MAINTENANCE_AS_OF, DAYS_KEPT)
+    return plan.select("dataset", "partition", "age_days", "cutoff", "action")
 
 
 @report(
@@ -461,12 +451,8 @@ def object_expire_plan(spark, sf):
     INVENTORY_SQL,
 )
 def compact_plan(spark, sf):
-    plans = []
-    for dataset, present in _inventories(spark, sf).items():
-        names = [c for c in present.columns if c not in ("objects", "bytes")]
-        plan = M.compact_plan(present, RULES[dataset][1], dataset)
-        plans.append(plan.select("dataset", _partition_name(*names), "objects", "max_objects", "action"))
-    return _union(plans)
+    plan = M.compact_plan(_inventory(spark, sf), MOST_OBJECTS)
+    return plan.select("dataset", "partition", "objects", "max_objects", "action")
 
 
 @report(
@@ -476,14 +462,7 @@ def compact_plan(spark, sf):
     INVENTORY_SQL,
 )
 def platform_plan(spark, sf):
-    plans = [
-        M.zone_plan(present, dataset, MAINTENANCE_AS_OF, *RULES[dataset]).select("dataset", "action")
-        for dataset, present in _inventories(spark, sf).items()
-    ]
-    return _union(plans).groupBy("dataset").agg(
-        F.count_if(F.col("action") == "expire").alias("expire_count"),
-        F.count_if(F.col("action") == "compact").alias("compact_count"),
-    )
+    return M.plan_counts(M.zone_plan(_inventory(spark, sf), MAINTENANCE_AS_OF, DAYS_KEPT, MOST_OBJECTS))
 
 
 def _number():

@@ -18,7 +18,7 @@ from tidemark.operators import partitions as PT
 from tidemark.operators import quality as Q
 from tidemark.plans import feed, flow, kpis, views
 from tidemark.plans.oracle import with_ctes
-from tidemark.schemas import EVENT_TYPES, QUALITY_CHECKS
+from tidemark.schemas import BRONZE_CONTRACT, EVENT_TYPES
 from tidemark.session import configure, materialize
 
 Report = Callable[[SparkSession, str], DataFrame]
@@ -516,8 +516,6 @@ def reconcile(spark, sf):
        GROUP BY code, field""",
 )
 def contract_violations(spark, sf):
-    from tidemark.schemas import BRONZE_CONTRACT
-
     return CT.violation_counts(CT.violations(feed.bronze(spark, sf), BRONZE_CONTRACT))
 
 
@@ -571,7 +569,7 @@ def schema_drift(spark, sf):
               (SELECT count(DISTINCT event_type) FROM cleansed WHERE NOT is_empty AND event_type NOT IN ('page_view', 'add_to_cart', 'purchase', 'refund'))""",
 )
 def data_tests(spark, sf):
-    gold = G.daily_metrics(feed.silver(spark, sf), ordered=False)
+    gold = materialize(G.daily_metrics(feed.silver(spark, sf), ordered=False), "gold")
     posted = C.inspect(feed.bronze(spark, sf), keep=(), gate=False)
     dim = gold.select("event_type").distinct()
     return (

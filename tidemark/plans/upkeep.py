@@ -26,10 +26,11 @@ def partition_plan(
     max_objects: int | None = None,
 ) -> DataFrame:
     """Planned action of every stored partition, from a listing alone."""
-    columns = MAINTENANCE_POLICY[dataset][1]
+    _, columns, days, objects = MAINTENANCE_POLICY[dataset]
     required = tuple(c for c in columns if c == "dt") or columns
     present = objects_per_partition(inventory(spark, location), columns, required)
-    return M.zone_plan(present, dataset, as_of, retention_days, max_objects)
+    days = days if retention_days is None else retention_days
+    return M.zone_plan(present, as_of, days, objects if max_objects is None else max_objects, dataset)
 
 
 def expire(spark: SparkSession, location: str, plan: DataFrame, table: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from tidemark.operators.gold import daily_metrics
 from tidemark.operators.identity import SILVER_IDENTITY, last_write
 from tidemark.operators.runs import run_record
 from tidemark.schemas import DEFAULT_LOOKBACK_DAYS, SILVER_SCHEMA
+from tidemark.session import spread
 from tidemark.sources import deadletter, sinks
 from tidemark.sources.notifications import extract_refs, undecodable
 from tidemark.streaming.records import RECORD_SCHEMA, decode
@@ -105,7 +106,7 @@ def medallion(
     def write(batch: DataFrame, batch_id: int) -> None:
         started = datetime.now(tz=timezone.utc)
         spark = batch.sparkSession
-        rows = C.cleanse(batch, watermark, lookback_days, gate=True)
+        rows = C.cleanse(spread(batch), watermark, lookback_days, gate=True)
         rows = rows.withColumn("batch", F.lit(batch_id).cast("bigint")).persist()
         try:
             good = last_write(C.accepted(rows).select(*SILVER_SCHEMA.names, "batch"), SILVER_IDENTITY, ("landed_at",))
