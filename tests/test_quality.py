@@ -77,3 +77,11 @@ def test_unknown_mode_is_an_error(bronze, event):
 
     with pytest.raises(ValueError):
         gate(bronze(event()), on_fail="ignore")
+
+
+def test_summary_lists_failing_ids(bronze, event):
+    decision, reasons = Q.summary(C.inspect(bronze(event(), event(event_id="bad", quantity=0), event(event_id=5, sku=""))))
+    assert decision.first()["rows_failed"] == 2
+    assert {(r["event_id"], tuple(r["reasons"])) for r in reasons.collect()} == {
+        ("bad", ("quantity_and_amount_sane",)), ("", ("required_dimensions", "schema_valid")),
+    }

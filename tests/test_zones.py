@@ -222,3 +222,53 @@ def test_delivery_and_drain(spark, tmp_root):
     jobs.deliver_bronze(stream, f"{tmp_root}/bronze", f"{tmp_root}/check").awaitTermination()
     bronze = spark.read.parquet(f"{tmp_root}/bronze")
     assert bronze.count() == 50 and {r["dt"] for r in bronze.select("dt").distinct().collect()} == {"2026-01-01"}
+
+
+def test_folding_batches_keeps_the_last_write(spark, tmp_root, event):
+    import json
+    import os
+
+    os.makedirs(f"{tmp_root}/source")
+    for i, amount in enumerate((1.0, 2.0, 3.0)):
+        rows = [event(event_id="same", amount_usd=amount), event(event_id=f"own-{i}")]
+        with open(f"{tmp_root}/source/{i}.json", "w") as out:
+            out.write("\n".join(json.dumps({"key": "u", "data": json.dumps(r)}) for r in rows) + "\n")
+        jobs.medallion(
+            jobs.record_stream(spark, f"{tmp_root}/source"), tmp_root, f"{tmp_root}/check", "2026-01-03T00:00:00Z"
+        ).awaitTermination()
+    assert jobs.current_silver(spark, tmp_root).count() == 6
+    assert jobs.fold_batches(spark, tmp_root, 1, "2026-01-01", "2026-01-31") == 1
+    rows = jobs.current_silver(spark, tmp_root)
+    assert {r["batch"] for r in rows.collect()} == {1, 2} and rows.count() == 5
+    jobs.refresh_gold(spark, tmp_root, rows.select("event_type", "dt").distinct())
+    gold = sinks.read_gold(spark, f"{tmp_root}/gold/metrics").first()
+    assert (gold["events"], gold["amount_usd"]) == (4, 3.0 + 3 * 19.5)
+
+
+def test_arrival_run(spark, tmp_root, bronze):
+    def message(*keys):
+        return bronze({"Records": [{"s3": {"bucket": {"name": "land"}, "object": {"key": k}}} for k in keys]})
+
+    present = spark.createDataFrame([("events/a",), ("events/b",)], "key STRING")
+    first = flow.ingest(spark, message("events/a", "events/x", "logs/z"), present, tmp_root)
+    assert (first["accepted"], first["skipped"], first["missing"], first["status"]) == (1, 1, 1, "succeeded")
+    assert flow.ingest(spark, message("events/x", "events/a"), present, tmp_root)["replay"]
+    failed = flow.ingest(spark, message("events/y"), present, tmp_root)
+    assert (failed["status"], failed["replay"]) == ("failed", False)
+    assert not flow.ingest(spark, message("events/y"), present, tmp_root)["replay"]
+
+
+def test_seeded_zone_runs_clean(spark, tmp_root):
+    generator.seed_bronze(spark, 200, f"{tmp_root}/bronze/events")
+    landed = spark.read.schema("raw STRING, source_key STRING, landed_at TIMESTAMP, dt STRING").parquet(f"{tmp_root}/bronze/events")
+    result = flow.run_batch(spark, landed, tmp_root, "2026-01-02T00:00:00Z", 3650)
+    assert (result["valid"], result["quarantined"], result["late"], result["status"]) == (200, 0, 0, "succeeded")
+
+
+def test_only_planned_partitions_are_read(spark, tmp_root):
+    path = f"{tmp_root}/bronze/events"
+    _fragments(spark, path, copies=1)
+    wanted = spark.createDataFrame([("2026-01-02",)], "dt STRING")
+    rows = sinks.only_partitions(spark.read.parquet(path), wanted, ("dt",))
+    assert rows.count() == 1
+    assert "PartitionFilters: [isnotnull(dt" in rows._jdf.queryExecution().executedPlan().toString()

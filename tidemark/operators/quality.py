@@ -120,3 +120,11 @@ def failing(checked: DataFrame) -> DataFrame:
 def passing(checked: DataFrame) -> DataFrame:
     """The clean subset, for a quarantine-mode run that goes on to Gold."""
     return checked.filter(F.size("checks") == 0).drop("checks")
+
+
+def summary(checked: DataFrame, on_fail: str = "quarantine", max_fail_ratio: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Gate decision of a batch, and the ids of its failing rows with reasons."""
+    reasons = checked.filter(F.size("checks") > 0).select(
+        F.coalesce("event_id", F.lit("")).alias("event_id"), F.col("checks").alias("reasons")
+    )
+    return decide(tally(checked), on_fail, max_fail_ratio), reasons

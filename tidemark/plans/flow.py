@@ -16,6 +16,8 @@ from tidemark.operators.runs import run_record
 from tidemark.schemas import DEFAULT_LOOKBACK_DAYS, SUCCESS_STATUSES
 from tidemark.session import materialize
 from tidemark.sources import sinks
+from tidemark.sources.notifications import extract_refs
+from tidemark.sources.objects import arrivals
 
 
 def reconcile(cleansed: DataFrame) -> DataFrame:
@@ -46,6 +48,38 @@ def reconcile(cleansed: DataFrame) -> DataFrame:
     )
 
 
+def ingest(spark: SparkSession, messages: DataFrame, present: DataFrame, root: str, prefix: str = "events/") -> dict:
+    """Check the objects that notifications name and record the arrival run.
+
+    ``messages`` holds notification texts, ``present`` the keys that exist. The
+    run fails when every object is missing; a run over the same objects that
+    already succeeded is replayed.
+    """
+    started = datetime.now(tz=timezone.utc)
+    outcome = materialize(arrivals(extract_refs(messages).select("bucket", "key"), present, prefix), "arrivals")
+    counts = outcome.agg(
+        F.count(F.lit(1)).alias("records"),
+        *[F.count_if(F.col("outcome") == name).alias(name) for name in ("accepted", "skipped", "missing")],
+    ).first()
+    absent = F.col("outcome") == "missing"
+    part = F.when(absent, F.concat(F.lit("missing:"), "bucket", F.lit("/"), "key")).otherwise(F.col("key"))
+    parts = outcome.filter(F.col("outcome") != "skipped").select(part.alias("part"))
+    identity = manifest_identity(parts, (), "part", "bronze").first()
+    result = {"run_id": identity["run_id"], **counts.asDict()}
+    runs_path = f"{root}/runs"
+    if _succeeded(spark, runs_path, identity["run_id"]):
+        return {**result, "status": "succeeded", "replay": True}
+    status = "failed" if counts["missing"] and not counts["accepted"] else "succeeded"
+    error = f"missing bronze objects: {counts['missing']}" if status == "failed" else None
+    metrics = {"object_count": counts["accepted"], "missing": counts["missing"]}
+    record = run_record(
+        spark, identity["run_id"], status, started, "bronze", "ingest", datetime.now(tz=timezone.utc),
+        error=error, object_count=counts["accepted"], metrics=_as_json(metrics),
+    )
+    sinks.append_runs(record, runs_path)
+    return {**result, "status": status, "replay": False}
+
+
 def run_batch(
     spark: SparkSession,
     bronze: DataFrame,

@@ -13,7 +13,7 @@ from tidemark.operators.partitions import objects_per_partition
 from tidemark.schemas import MAINTENANCE_POLICY
 from tidemark.session import materialize
 from tidemark.sources.objects import inventory
-from tidemark.sources.sinks import write_partitions
+from tidemark.sources.sinks import only_partitions, write_partitions
 from tidemark.sources.storage import delete_paths
 
 
@@ -69,7 +69,7 @@ def compact(spark: SparkSession, location: str, plan: DataFrame) -> DataFrame:
     columns = [c for c in plan.columns if c in ("event_type", "metric", "reason", "dt")]
     chosen = materialize(plan.filter(F.col("action") == "compact").select(*columns), "compact-plan")
     if not chosen.isEmpty():
-        rows = spark.read.parquet(location).join(chosen, columns, "left_semi")
+        rows = only_partitions(spark.read.parquet(location), chosen, tuple(columns))
         write_partitions(rows, location, tuple(columns))
         spark.catalog.refreshByPath(location)
     return chosen

@@ -7,7 +7,9 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import bronze_key
 from tidemark.schemas import EVENT_TYPES
+from tidemark.sources.sinks import append_partitions
 
 # Fixed values of the event sequence.
 MULTIPLIER = 1103515245
@@ -60,3 +62,12 @@ def as_json(events: DataFrame) -> DataFrame:
         "event_id",
         "user_id",
     )
+
+
+def seed_bronze(spark: SparkSession, count: int, path: str, seed: int = 42) -> DataFrame:
+    """Generate events and land them in Bronze by day; returns the landed rows."""
+    landed = as_json(generate_events(spark, count, seed))
+    key = bronze_key(F.col("dt"), F.col("event_id"))
+    rows = landed.select("raw", key.alias("source_key"), F.current_timestamp().alias("landed_at"), "dt")
+    append_partitions(rows, path, ("dt",))
+    return rows

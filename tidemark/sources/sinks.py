@@ -12,6 +12,9 @@ from tidemark.schemas import GOLD_SCHEMA, RUN_SCHEMA, SILVER_SCHEMA
 from tidemark.session import materialize
 
 
+MAX_LISTED_PARTITIONS = 10_000
+
+
 def write_partitions(df: DataFrame, path: str, columns: tuple[str, ...], rebalance: bool = True) -> None:
     """Replace the partitions present in the frame, leave the others.
 
@@ -50,6 +53,21 @@ def write_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("land
     write_partitions(last_write(rows, SILVER_IDENTITY, order), path, ("event_type", "dt"))
 
 
+def only_partitions(stored: DataFrame, wanted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of the listed partitions of a stored table, and no files of others.
+
+    A short list becomes literal filters on the partition columns, which prune
+    before any file is opened. A longer one is matched by the join alone.
+    """
+    listed = wanted.select(*columns).distinct()
+    some = listed.limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(some) <= MAX_LISTED_PARTITIONS:
+        for name in columns:
+            stored = stored.filter(F.col(name).isin(sorted({row[name] for row in some})))
+        listed = wanted.sparkSession.createDataFrame(some, wanted.select(*columns).schema)
+    return stored.join(listed, list(columns), "left_semi")
+
+
 def upsert_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("landed_at",)) -> None:
     """Merge a partial batch into the partitions it touches.
 
@@ -58,8 +76,7 @@ def upsert_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("lan
     """
     spark = accepted.sparkSession
     batch = materialize(accepted.select(*SILVER_SCHEMA.names), "silver-batch")
-    touched = batch.select("event_type", "dt").distinct()
-    stored = read_silver(spark, path).join(touched, ["event_type", "dt"], "left_semi")
+    stored = only_partitions(read_silver(spark, path), batch, ("event_type", "dt"))
     merged = last_write(stored.select(*SILVER_SCHEMA.names).unionByName(batch), SILVER_IDENTITY, order)
     write_partitions(materialize(merged, "silver-merge"), path, ("event_type", "dt"))
 

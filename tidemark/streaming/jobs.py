@@ -18,13 +18,14 @@ from tidemark.operators.gold import daily_metrics
 from tidemark.operators.identity import SILVER_IDENTITY, last_write
 from tidemark.operators.runs import run_record
 from tidemark.schemas import DEFAULT_LOOKBACK_DAYS, SILVER_SCHEMA
-from tidemark.session import spread
+from tidemark.session import materialize, spread
 from tidemark.sources import deadletter, sinks
 from tidemark.sources.notifications import extract_refs, undecodable
+from tidemark.sources.objects import inventory
+from tidemark.sources.storage import delete_paths
 from tidemark.streaming.records import RECORD_SCHEMA, decode
 
 FILES_PER_BATCH = 10
-MAX_LISTED_PARTITIONS = 10_000
 
 
 def record_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
@@ -137,19 +138,31 @@ def current_silver(spark: SparkSession, root: str) -> DataFrame:
 
 
 def refresh_gold(spark: SparkSession, root: str, touched: DataFrame) -> None:
-    """Recompute the touched (type, day) metrics from the full Silver partitions.
-
-    A short list of partitions becomes a literal filter, which prunes before the
-    listing; a longer one is matched by a join.
-    """
-    silver = current_silver(spark, root)
-    some = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if not some:
-        return
-    if len(some) <= MAX_LISTED_PARTITIONS:
-        days = sorted({row["dt"] for row in some})
-        silver = silver.filter(F.col("dt").isin(days))
-        touched = spark.createDataFrame(some, "event_type STRING, dt STRING")
-    rows = silver.join(touched, ["event_type", "dt"], "left_semi")
+    """Recompute the touched (type, day) metrics from the full Silver partitions."""
+    rows = sinks.only_partitions(current_silver(spark, root), touched, ("event_type", "dt"))
     latest = last_write(rows, SILVER_IDENTITY, ("landed_at", "batch"))
     sinks.write_gold(daily_metrics(latest, ordered=False), f"{root}/gold/metrics")
+
+
+def fold_batches(spark: SparkSession, root: str, up_to_batch: int, first_day: str, last_day: str) -> int:
+    """Fold the batches of a range of days into one folder per (type, day).
+
+    The folded rows replace the folder of ``up_to_batch``, then the older folders
+    go. Between the two steps a row may be stored twice; readers that keep the
+    last write see it once. Returns the number of folders deleted.
+    """
+    older = current_silver(spark, root).filter(
+        F.col("dt").between(first_day, last_day) & (F.col("batch") <= F.lit(up_to_batch))
+    )
+    folded = last_write(older, SILVER_IDENTITY, ("landed_at", "batch")).withColumn("batch", F.lit(up_to_batch).cast("bigint"))
+    path = f"{root}/silver/events"
+    folders = inventory(spark, path).select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
+    batch = K.hive_value(F.col("path"), "batch").try_cast("bigint")
+    stale = folders.filter(
+        K.day_of_key(F.col("path")).between(first_day, last_day) & (batch < F.lit(up_to_batch))
+    )
+    gone = materialize(stale, "stale")
+    sinks.write_partitions(folded, path, ("event_type", "dt", "batch"))
+    deleted = materialize(delete_paths(gone), "deleted").filter("deleted").count()
+    spark.catalog.refreshByPath(path)
+    return deleted
