@@ -149,4 +149,25 @@ def test_empty_input(bronze, spark):
 
 def test_record_is_parsed_once(bronze, event):
     plan = C.accepted(C.cleanse(bronze(event()), "2026-01-10T00:00:00Z"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("parseJson") == 2  # the text, and its trimmed form when that fails
+    assert plan.count("from_json(") + plan.count("jsontostructs(") == 2  # the text, and its trimmed form when that fails
+
+
+def test_text_after_the_record_is_an_error(bronze, event):
+    import json
+
+    good = json.dumps(event())
+    tails = [" x", " {}", "}", "]", ",", ', "a": 1', ",{}", "][{}", " " + good]
+    assert reasons(bronze(*[good + tail for tail in tails])) == ["missing_event_id"] * len(tails)
+    assert reasons(bronze(good + " \n", good + "\u00a0")) == [None, None]
+
+
+def test_loose_json_is_an_error(bronze):
+    assert reasons(bronze("{'event_id': 'a'}", '{event_id: "a"}', '{"event_id": "a",}', '\ufeff{"event_id": "a"}')) == ["missing_event_id"] * 4
+
+
+def test_json_nan_is_read_as_a_number(bronze, event):
+    import json
+
+    amount, quantity = (json.dumps(event(**{name: float("nan")})) for name in ("amount_usd", "quantity"))
+    assert "NaN" in amount
+    assert reasons(bronze(amount, quantity)) == ["schema_invalid", "non_numeric_measures"]

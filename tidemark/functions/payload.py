@@ -6,7 +6,7 @@ variant of type VOID; the rules treat the two differently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The code points that count as white space when text is trimmed.
@@ -26,7 +26,6 @@ ISO_TEXT = (
 )
 EPOCH_TEXT = r"^[+-]?\d+(\.\d+)?$"
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-OBJECT_START = rf"^{SPACE}*\{{"
 EMPTY_DOCUMENT = rf"^{SPACE}*(\{{[ \t\r\n]*\}}{SPACE}*)?$"
 
 # Texts of the non-text values that count as blank.
@@ -76,8 +75,8 @@ class Field:
         self.text = f"_t_{name}" if textual else f"try_variant_get({self.value}, '$', 'string')"
         self.trimmed = f"trim(BOTH {sql_text(WHITESPACE)} FROM {self.text})"
 
-    def value_column(self, payload: str) -> str:
-        return f"variant_get({payload}, '$.{self.name}', 'variant') AS {self.value}"
+    def value_column(self, record: str) -> str:
+        return f"{record}.{self.name} AS {self.value}"
 
     def detail_columns(self) -> list[str]:
         label = f"schema_of_variant({self.value}) AS {self.kind}"
@@ -150,16 +149,30 @@ class Field:
         return f"CASE WHEN {is_iso} THEN substring({self.text}, 1, 10) ELSE date_format({instant}, 'yyyy-MM-dd') END"
 
 
-def parse_document(raw: Column) -> Column:
-    """VARIANT of one stored JSON text, NULL when it cannot be read."""
-    return F.coalesce(F.try_parse_json(raw), F.try_parse_json(strip(raw)))
+def with_document(df: DataFrame, raw: str, out: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Add ``out``, the parsed text: a VARIANT, or with ``fields`` a struct of them.
 
+    NULL unless the whole text is one JSON value (with ``fields``, one object).
+    Spark's parser stops after the first value, so the text is read as the first
+    of two list items; anything left over spoils the list or its length. White
+    space that JSON does not know is trimmed only for texts that fail without.
+    """
+    if fields:
+        item = "struct<" + ", ".join(f"{name}: variant" for name in fields) + ", _end: boolean>"
+        closing, closed = ',{"_end":true}]', "_items[1]._end"
+    else:
+        item, closing, closed = "variant", ',"_end"]', "try_variant_get(_items[1], '$', 'string') = '_end'"
+
+    def attempt(text: str) -> str:
+        return f"from_json(concat('[', {text}, '{closing}'), 'array<{item}>', map('allowSingleQuotes', 'false'))"
 
-def parse_object(raw: Column) -> Column:
-    """As `parse_document`, but only for texts that hold a JSON object."""
-    return F.when(raw.rlike(OBJECT_START), parse_document(raw))
+    trimmed = f"trim(BOTH {sql_text(WHITESPACE)} FROM `{raw}`)"
+    kept = [f"`{c}`" for c in df.columns]
+    listed = df.selectExpr(*kept, f"coalesce({attempt(f'`{raw}`')}, {attempt(trimmed)}) AS _items")
+    whole = f"size(_items) = 2 AND coalesce({closed}, false)"
+    return listed.selectExpr(*kept, f"CASE WHEN {whole} THEN _items[0] END AS `{out}`")
 
 
-def is_empty_object(raw: Column) -> Column:
+def is_empty_object(raw: str) -> str:
     """Blank text or {}."""
-    return F.coalesce(raw.rlike(EMPTY_DOCUMENT), F.lit(False))
+    return f"coalesce(`{raw}` RLIKE {sql_text(EMPTY_DOCUMENT)}, false)"

@@ -35,9 +35,10 @@ def inspect(
     texts = [fields[n] for n in ("event_id", "event_type", "user_id", "sku")]
     known = ", ".join(P.sql_text(t) for t in EVENT_TYPES)
 
-    text = F.col(raw)
-    frame = bronze.select(*carried, P.is_empty_object(text).alias("_empty"), P.parse_object(text).alias("_payload"))
-    frame = frame.selectExpr(*carried, "_empty", *[f.value_column("_payload") for f in fields.values()])
+    frame = P.with_document(bronze.select(*{*carried, raw}), raw, "_record", tuple(fields))
+    frame = frame.selectExpr(
+        *carried, f"{P.is_empty_object(raw)} AS _empty", *[f.value_column("_record") for f in fields.values()]
+    )
     details = [column for f in fields.values() for column in f.detail_columns()]
     frame = frame.selectExpr(*carried, "_empty", *details)
     frame = frame.selectExpr(

@@ -35,7 +35,7 @@ def violations(rows: DataFrame, contract: dict, raw: str = "raw", keep: tuple[st
     A required field must be present and not null; a present one must have its
     type and, for text with an enumeration, one of its values.
     """
-    parsed = rows.select(*keep, P.parse_document(F.col(raw)).alias("_doc"))
+    parsed = P.with_document(rows.select(*{*keep, raw}), raw, "_doc")
     fields = contract["fields"]
     values = evaluate_once(
         parsed.select(*keep, *[P.field(F.col("_doc"), f["name"]).alias(f"_{f['name']}") for f in fields])
@@ -112,7 +112,8 @@ def _profile_cells(rows: DataFrame, raw: str, enum_fields: tuple[str, ...]) -> D
 
     Each record adds one cell without a field, so the record count comes along.
     """
-    docs = evaluate_once(rows.select(P.parse_object(F.col(raw)).alias("doc"))).filter(F.col("doc").isNotNull())
+    docs = evaluate_once(P.with_document(rows.select(raw), raw, "doc"), "doc")
+    docs = docs.filter(P.kind(F.col("doc")).startswith("OBJECT"))
     entries = F.map_entries(F.try_variant_get("doc", "$", "map<string,variant>"))
     whole = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))
     items = docs.select(F.inline(F.concat(F.array(whole), entries))).select(

@@ -22,7 +22,7 @@ def _list_of(value: Column) -> Column:
 
 def flatten(objects: DataFrame, keys: tuple[str, ...], lists: tuple[str, ...], raw: str = "raw") -> DataFrame:
     """Records of stored objects with their partition keys, as VARIANT `record`."""
-    parsed = evaluate_once(objects.select(*keys, P.parse_document(F.col(raw)).alias("_doc")))
+    parsed = evaluate_once(P.with_document(objects.select(*keys, raw), raw, "_doc"), *keys, "_doc")
     doc = F.col("_doc")
     single = F.when(P.kind(doc).startswith("OBJECT"), F.array(doc))
     nested = [_list_of(P.field(doc, name)) for name in lists]
@@ -31,7 +31,7 @@ def flatten(objects: DataFrame, keys: tuple[str, ...], lists: tuple[str, ...], r
 
 
 def _merged(objects: DataFrame, keys: tuple[str, ...], lists: tuple[str, ...], raw: str) -> DataFrame:
-    parsed = evaluate_once(objects.select(*keys, P.parse_document(F.col(raw)).alias("_doc")))
+    parsed = evaluate_once(P.with_document(objects.select(*keys, raw), raw, "_doc"), *keys, "_doc")
     doc = F.col("_doc")
     items = F.coalesce(
         _list_of(doc),

@@ -50,7 +50,7 @@ def extract_refs(messages: DataFrame, raw: str = "raw", keep: tuple[str, ...] =
     text or an object), and bus events with a detail. Whatever cannot be decoded
     names no object and is dropped.
     """
-    parsed = evaluate_once(messages.select(*keep, P.parse_document(F.col(raw)).alias("_doc")))
+    parsed = evaluate_once(P.with_document(messages.select(*{*keep, raw}), raw, "_doc"), *keep, "_doc")
     top = parsed.select(*keep, _object(F.col("_doc")).alias("_doc")).filter(F.col("_doc").isNotNull())
     records = _array(F.col("_doc"), "$.Records")
     outer = top.select(
@@ -60,16 +60,17 @@ def extract_refs(messages: DataFrame, raw: str = "raw", keep: tuple[str, ...] =
     origin = F.coalesce(F.try_variant_get("_item", "$.eventSource", "string"), F.lit(""))
     body = F.try_variant_get("_item", "$.body", "variant")
     queued = F.col("_listed") & (origin.endswith("sqs") | body.isNotNull())
-    body_doc = F.when(P.kind(body) == "STRING", F.try_parse_json(F.try_variant_get(body, "$", "string"))).otherwise(body)
-    outer = evaluate_once(
-        outer.select(
-            *keep,
-            "_listed",
-            queued.alias("_queued"),
-            F.col("_item"),
-            F.when(queued, _object(body_doc)).alias("_body"),
-        )
+    outer = outer.select(
+        *keep,
+        "_listed",
+        queued.alias("_queued"),
+        "_item",
+        F.when(queued, body).alias("_inner"),
+        F.when(queued & (P.kind(body) == "STRING"), F.try_variant_get(body, "$", "string")).alias("_text"),
     )
+    outer = P.with_document(outer, "_text", "_parsed")
+    unwrapped = F.when(F.col("_text").isNull(), F.col("_inner")).otherwise(F.col("_parsed"))
+    outer = evaluate_once(outer.select(*keep, "_listed", "_queued", "_item", _object(unwrapped).alias("_body")))
     inner = _array(F.col("_body"), "$.Records")
     native = F.col("_listed") & ~F.col("_queued")
     refs = (
@@ -88,5 +89,5 @@ def extract_refs(messages: DataFrame, raw: str = "raw", keep: tuple[str, ...] =
 
 def undecodable(messages: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
     """Messages that are no JSON object: the dead-letter candidates."""
-    parsed = evaluate_once(messages.select(*keep, raw, P.parse_document(F.col(raw)).alias("_doc")))
+    parsed = evaluate_once(P.with_document(messages.select(*{*keep, raw}), raw, "_doc"))
     return parsed.filter(~F.coalesce(P.kind(F.col("_doc")).startswith("OBJECT"), F.lit(False))).drop("_doc")
