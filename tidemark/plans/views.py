@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.schemas import EVENT_TYPE_LABELS
+
 GOLD_VIEW = "daily_event_metrics"
 SILVER_VIEW = "commerce_event_conformed"
 
+_LABEL_CASES = " ".join(f"WHEN '{name}' THEN '{label}'" for name, label in EVENT_TYPE_LABELS.items())
+
 # Named queries; `as_of` is a parameter so a result can be reproduced.
 NAMED_QUERIES = {
     "gold_daily_totals": f"""
@@ -18,7 +22,7 @@ NAMED_QUERIES = {
         WHERE dt >= date_format(date_sub(coalesce(CAST(:as_of AS DATE), current_date()), 6), 'yyyy-MM-dd')
         ORDER BY dt, metric""",
     "silver_late_event_counts": f"""
-        SELECT event_type, dt, count(*) AS events, sum(CASE WHEN _late THEN 1 ELSE 0 END) AS late_events
+        SELECT event_type, dt, count(*) AS events, count_if(_late) AS late_events
         FROM {SILVER_VIEW} GROUP BY event_type, dt ORDER BY dt, event_type""",
 }
 
@@ -30,15 +34,8 @@ MARTS = {
         SELECT event_type, dt, events, amount_usd FROM stg_daily_event_metrics""",
     "fct_daily_purchase_revenue": """
         SELECT dt, events, amount_usd AS gmv_usd FROM stg_daily_event_metrics WHERE event_type = 'purchase'""",
-    "dim_event_type": """
-        SELECT event_type,
-               CASE event_type
-                   WHEN 'page_view' THEN 'Page view'
-                   WHEN 'add_to_cart' THEN 'Add to cart'
-                   WHEN 'purchase' THEN 'Purchase'
-                   WHEN 'refund' THEN 'Refund'
-               END AS event_type_name
-        FROM stg_daily_event_metrics GROUP BY event_type""",
+    "dim_event_type": f"""
+        SELECT DISTINCT event_type, CASE event_type {_LABEL_CASES} END AS event_type_name FROM stg_daily_event_metrics""",
 }
 
 

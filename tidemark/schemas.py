@@ -51,7 +51,7 @@ RUN_STATUSES = ("pending", "running", "succeeded", "failed", "quality_failed")
 RUN_ZONES = ("bronze", "silver", "gold")
 RUN_STEPS = ("ingest", "silver", "quality", "gold", "pipeline", "reprocess")
 
-# Spark type of each contract type; partition keys are always strings.
+# Spark type of each contract type; partition keys are always strings.
 CONTRACT_TYPES = {
     "string": T.StringType(),
     "integer": T.LongType(),
@@ -63,7 +63,7 @@ CONTRACT_TYPES = {
     "object": T.StringType(),
 }
 
-# A type may change to one of these without breaking readers.
+# A type may change to one of these without breaking readers.
 TYPE_WIDENS_TO = {
     "integer": ("number",),
     "date": ("datetime", "string"),
@@ -72,6 +72,7 @@ TYPE_WIDENS_TO = {
 }
 
 
+# The fields of each zone contract.
 def _field(name, type_, required=False, enum=None):
     return {"name": name, "type": type_, "required": required, "enum": enum}
 
@@ -211,7 +212,7 @@ RUN_SCHEMA = T.StructType(
     ]
 )
 
-# Catalog of emitted metric names and their units.
+# Emitted metric names and their units.
 METRIC_UNITS = {
     "RecordsProcessed": "Count",
     "QualityFailures": "Count",
@@ -225,7 +226,7 @@ METRIC_UNITS = {
 BYTES_PER_RECORD = 2048
 BYTES_PER_GOLD_OBJECT = 8192
 
-# Lineage graph: node -> (zone, kind), edges (from, to, relation), families.
+# Fixed values of the lineage graph: node -> (zone, kind), edges (from, to, relation), families.
 LINEAGE_NODES = {
     "bronze": ("bronze", "raw_events"),
     "silver": ("silver", "cleansed_events"),
@@ -263,7 +264,7 @@ QUALITY_REJECT_CEILING = 0.50
 
 FRESHNESS_BUDGET_HOURS = 24.0
 
-# Maintenance policy per dataset: zone path, partition columns, days kept, most
+# Maintenance policy per dataset: zone path, partition columns, days kept, most
 # objects a partition may hold before it is compacted.
 MAINTENANCE_POLICY = {
     "bronze.raw_events": ("bronze/events", ("dt",), 30, 8),
