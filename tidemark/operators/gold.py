@@ -25,12 +25,11 @@ def daily_metrics(silver: DataFrame, ordered: bool = True) -> DataFrame:
 
 
 def _integer(df: DataFrame, name: str) -> Column:
+    """Integer reading of a column: text must be an integer, numbers truncate."""
     if name not in df.columns:
         return F.lit(0).cast("bigint")
     column = F.col(name)
-    if isinstance(df.schema[name].dataType, (T.StringType, T.DoubleType, T.FloatType, T.DecimalType)):
-        return strip(column).try_cast("bigint") if isinstance(df.schema[name].dataType, T.StringType) else column.try_cast("bigint")
-    return column.cast("bigint")
+    return (strip(column) if isinstance(df.schema[name].dataType, T.StringType) else column).try_cast("bigint")
 
 
 def _double(df: DataFrame, name: str) -> Column:
