@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing
+from tidemark.llm import packing, pieces
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,8 +35,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+    both = pieces.decode_documents(encoded, PIECE_MODEL)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
