@@ -6,7 +6,7 @@ RULES_SQL = r"""
 WITH texts AS (
     SELECT doc_id, coalesce(text, '') AS text,
            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-           list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents
 ),
 windows AS (
@@ -21,7 +21,7 @@ covered AS (
 ),
 measured AS (
     SELECT t.doc_id, text, words, lines, len(words) AS n_words,
-           coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+           coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
            len(lines) - len(list_distinct(lines)) AS n_dup_lines,
            coalesce(c.n, 0) AS n_repeat_words
@@ -38,8 +38,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
        AND length(regexp_replace(text, '[^\p{Lu}]', '', 'g'))
            / greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1) <= 0.4
        AND length(regexp_replace(text, '[^!]', '', 'g')) / greatest(n_words, 1) <= 0.2
-       AND len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) / greatest(n_words, 1) >= 0.7
-       AND len(list_filter(lines, x -> regexp_matches(x, '[.!?:;…]['')"»\]]*[\x20\x09-\x0D]*\z')))
+       AND len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) / greatest(n_words, 1) >= 0.7
+       AND len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…]['')"»\]]*[\x20\x09-\x0D]*\z')))
            / greatest(len(lines), 1) >= 0.12 AS kept
 FROM measured
 """
