@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import oracles, packing, pieces, rules
+from tidemark.llm import minmax, oracles, packing, pieces, rules
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,6 +46,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge_documents(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -63,6 +68,7 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
+    "op6_minmax": op6_minmax,
     "op7_rules": op7_rules,
 }
 
