@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minmax, oracles, packing, pieces, rules
+from tidemark.llm import minmax, oracles, packing, pieces, rules, substrings
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +35,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    kept = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(kept, " "), 256).alias("kept_sha256"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL)
     both = pieces.decode_documents(encoded, PIECE_MODEL)
@@ -68,6 +74,7 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
+    "op9_substrings": op9_substrings,
     "op6_minmax": op6_minmax,
     "op7_rules": op7_rules,
 }
