@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minmax, oracles, packing, pieces, rules, substrings
+from tidemark.llm import lattice, minmax, oracles, packing, pieces, rules, substrings
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -52,6 +52,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _id_remainder(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL, _id_remainder(5) == 1, class_col="lang")
+
+
 def op6_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minmax.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -74,6 +82,7 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
+    "op2_lattice": op2_lattice,
     "op9_substrings": op9_substrings,
     "op6_minmax": op6_minmax,
     "op7_rules": op7_rules,
