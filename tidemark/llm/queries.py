@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lattice, minmax, oracles, packing, pieces, rules, substrings
+from tidemark.llm import lattice, minmax, oracles, packing, pieces, rules, substrings, toxicity
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,13 @@ def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL, _id_remainder(5) == 1, class_col="lang")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_id_remainder(4) == 2, F.lit(False))
+    scored = toxicity.toxicity(docs, labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minmax.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -82,6 +89,7 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
+    "op5_toxicity": op5_toxicity,
     "op2_lattice": op2_lattice,
     "op9_substrings": op9_substrings,
     "op6_minmax": op6_minmax,
