@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 
 #: Parts whose ids a worker remembers; each entry takes about 250 bytes.
-CACHED_PARTS = 250_000
+CACHED_PARTS = 450_000
 #: Documents of one output batch.
 ROWS_OUT = 500
 
