@@ -35,7 +35,7 @@ from tidemark.session import materialize
 
 WINDOW_WORDS = 50
 #: Words of the runs whose smallest hash is a window's key.
-RUN_WORDS = 8
+RUN_WORDS = 24
 #: log2 of the cells in each of the sketch's two rows; the bitmaps take 2^(bits - 2) bytes.
 SKETCH_BITS = 27
 #: Cells of one of Spark's bitmaps, which have 4096 bytes.
@@ -48,6 +48,7 @@ def window_keys(h: np.ndarray, window: int, run: int = RUN_WORDS) -> np.ndarray:
     """For each window of words the smallest hash of the runs in it."""
     if len(h) < window:
         return np.empty(0, np.uint64)
+    run = min(run, window)
     low, width, want = wordhash.runs(h, run), 1, window - run + 1
     while width * 2 <= want:
         low = np.minimum(low[:-width], low[width:])
@@ -237,7 +238,7 @@ def remove_repeats(
     some = some.join(firsts, "words_key").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
     some = some.select("doc_id", "row", "text", "n_words", "starts", "copy")
     leaders = some.filter("NOT copy AND doc_id IS NOT NULL")
-    windows = materialize(candidate_windows(leaders, window), "windows-hashed")
+    windows = candidate_windows(leaders, window)
     earliest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     later = windows.join(earliest.filter("first < last"), ["high", "low"]).filter("doc_id > first")
     # A row's list is bounded by its own words.
