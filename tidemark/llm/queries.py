@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lattice, minmax, oracles, packing, pieces, rules, substrings, toxicity
+from tidemark.llm import lattice, minmax, oracles, packing, pieces, rules, substrings, suffixes, toxicity
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,12 @@ def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL, _id_remainder(5) == 1, class_col="lang")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return cut.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.coalesce(_id_remainder(4) == 2, F.lit(False))
@@ -89,6 +95,7 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
+    "op4_suffixes": op4_suffixes,
     "op5_toxicity": op5_toxicity,
     "op2_lattice": op2_lattice,
     "op9_substrings": op9_substrings,
@@ -97,5 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffixes": oracles.LINES_SQL,
+    "op6_minmax": oracles.NEAR_SQL,
     "op7_rules": oracles.RULES_SQL,
+    "op9_substrings": oracles.SUBSTRINGS_SQL,
 }
