@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lattice, minmax, oracles, packing, pieces, rules, substrings, suffixes, toxicity
+from tidemark.llm import imatch, lattice, minmax, oracles, packing, pieces, rules, substrings, suffixes, toxicity
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,10 @@ def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL, _id_remainder(5) == 1, class_col="lang")
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeated_lines(_table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -95,6 +99,7 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
+    "op3_imatch": op3_imatch,
     "op4_suffixes": op4_suffixes,
     "op5_toxicity": op5_toxicity,
     "op2_lattice": op2_lattice,
