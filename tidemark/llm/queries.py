@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import imatch, lattice, minmax, oracles, packing, pieces, rules, substrings, suffixes, toxicity
+from tidemark.llm import imatch, lattice, mincut, minmax, oracles, packing, pieces, rules, substrings, suffixes, toxicity
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -52,6 +52,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mincut.extract_pages(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def _id_remainder(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
@@ -99,6 +104,7 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
+    "op1_mincut": op1_mincut,
     "op3_imatch": op3_imatch,
     "op4_suffixes": op4_suffixes,
     "op5_toxicity": op5_toxicity,
