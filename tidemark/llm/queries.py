@@ -9,10 +9,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import imatch, lattice, mincut, minmax, oracles, packing, pieces, rules, substrings, suffixes, toxicity
+from tidemark.llm import (
+    folds,
+    imatch,
+    lattice,
+    mincut,
+    minmax,
+    oracles,
+    packing,
+    pieces,
+    rules,
+    substrings,
+    suffixes,
+    toxicity,
+)
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,12 +70,8 @@ def op1_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
-def _id_remainder(parts: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
-
-
 def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.score_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL, _id_remainder(5) == 1, class_col="lang")
+    return lattice.score_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL, folds.held_out(5, 1), class_col="lang")
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +86,7 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held_out = F.coalesce(_id_remainder(4) == 2, F.lit(False))
+    held_out = folds.held_out(4, 2)
     scored = toxicity.toxicity(docs, labels, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -1,13 +1,57 @@
-"""The operators as stages over a table of documents."""
+"""The operators as stages over a table of documents.
+
+Each takes (spark, docs, sf_dir) and applies its decisions to every row of docs; all but
+the last return the columns of docs, `n_chars` following the text.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import carry, folds, minmax, packing, substrings, suffixes, toxicity
+
+
+def _as_documents(result: DataFrame, docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of docs in their order, from doc_id, text and the carried ones."""
+    columns = {c: F.col(carry.CARRIED).getField(c) for c in keep}
+    columns |= {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return result.select(*(columns[c].alias(c) for c in docs.columns))
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; the fold that the query holds out is not learned from."""
+    keep = carry.others(docs, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.toxicity(docs, labels, ~folds.held_out(4, 2), keep=keep)
+    return _as_documents(scored.filter("predicted = 0"), docs, keep)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs; those of which nothing is left go."""
+    keep = carry.others(docs, "doc_id", "text")
+    cut = suffixes.remove_repeated_lines(docs, keep=keep)
+    return _as_documents(cut.filter("n_removed = 0 OR n_removed < n_lines"), docs, keep)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, the one with the smallest id; shingles of five words."""
+    found = minmax.near_duplicates(docs, size=5)
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    # Rows without an id go only with a component that has one.
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
 
-from tidemark.llm import packing as pack
+def without_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without windows of words that an earlier one has; those of which nothing is left go."""
+    keep = carry.others(docs, "doc_id", "text")
+    cut = substrings.remove_repeats(docs, keep=keep)
+    return _as_documents(cut.filter("n_removed = 0 OR n_removed < n_words"), docs, keep)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 ids."""
-    return pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

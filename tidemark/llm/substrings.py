@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import wordhash
+from tidemark.llm import carry, wordhash
 from tidemark.session import materialize
 
 WINDOW_WORDS = 50
@@ -116,7 +116,7 @@ def _set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def mark_candidates(docs: DataFrame, bitmap: np.ndarray, *, window: int, bits: int) -> DataFrame:
-    """(doc_id, text, n_words, words_key, starts) of every row.
+    """(doc_id, text, n_words, words_key, starts, carried) of every row.
 
     `starts` has a bit for each window estimated repeated, `words_key` names the words;
     both are null in a document without such a window.
@@ -145,11 +145,13 @@ def mark_candidates(docs: DataFrame, bitmap: np.ndarray, *, window: int, bits: i
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.binary()),
                     pa.array(starts, pa.binary()),
+                    batch.column(2),
                 ],
-                ["doc_id", "text", "n_words", "words_key", "starts"],
+                ["doc_id", "text", "n_words", "words_key", "starts", carry.CARRIED],
             )
 
-    return docs.mapInArrow(mark, "doc_id LONG, text STRING, n_words LONG, words_key BINARY, starts BINARY")
+    schema = "doc_id LONG, text STRING, n_words LONG, words_key BINARY, starts BINARY"
+    return docs.mapInArrow(mark, carry.with_carried(schema, docs))
 
 
 def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -189,7 +191,7 @@ def cut_words(text: str, gone: np.ndarray) -> str:
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, text) from (doc_id, text, n_words, copy, cuts)."""
+    """(doc_id, n_words, n_removed, text, carried) from (doc_id, text, n_words, copy, cuts, carried)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,12 +209,18 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                 removed.append(int(gone.sum()))
                 texts.append(cut_words(text, gone) if removed[-1] else text)
             yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-                ["doc_id", "n_words", "n_removed", "text"],
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array(removed, pa.int64()),
+                    pa.array(texts, pa.string()),
+                    batch.column(5),
+                ],
+                ["doc_id", "n_words", "n_removed", "text", carry.CARRIED],
             )
 
-    chosen = rows.select("doc_id", "text", "n_words", "copy", "cuts")
-    return chosen.mapInArrow(cut, "doc_id LONG, n_words LONG, n_removed LONG, text STRING")
+    chosen = rows.select("doc_id", "text", "n_words", "copy", "cuts", carry.CARRIED)
+    return chosen.mapInArrow(cut, carry.with_carried("doc_id LONG, n_words LONG, n_removed LONG, text STRING", rows))
 
 
 def remove_repeats(
@@ -222,21 +230,27 @@ def remove_repeats(
     bits: int = SKETCH_BITS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(doc_id, n_words, n_removed, text): every row without the words of earlier windows.
+    """(doc_id, n_words, n_removed, text, carried): every row without the words of earlier windows.
 
-    A row that loses nothing keeps its text as it is, null included.
+    A row that loses nothing keeps its text as it is, null included. `carried` holds the
+    columns `keep`.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        carry.packed(docs, keep or []),
+    )
     bitmap = repeated_cells(sketch(docs, window=window, bits=bits), bits)
     marked = mark_candidates(docs, bitmap, window=window, bits=bits)
     marked = materialize(marked.withColumn("row", F.monotonically_increasing_id()), "windows-marked")
-    plain = marked.filter("starts IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "text")
+    plain = marked.filter("starts IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "text", carry.CARRIED)
     some = marked.filter("starts IS NOT NULL")
 
     firsts = some.groupBy("words_key").agg(F.min("doc_id").alias("first_id"))
     some = some.join(firsts, "words_key").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
-    some = some.select("doc_id", "row", "text", "n_words", "starts", "copy")
+    some = some.select("doc_id", "row", "text", "n_words", "starts", "copy", carry.CARRIED)
     leaders = some.filter("NOT copy AND doc_id IS NOT NULL")
     windows = candidate_windows(leaders, window)
     earliest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))

@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import carry
 from tidemark.session import materialize
 
 #: Lines of the shortest run that is deleted.
@@ -84,14 +85,24 @@ def shared_runs(positions: DataFrame, min_lines: int) -> DataFrame:
 
 
 def remove_repeated_lines(
-    docs: DataFrame, *, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    *,
+    min_lines: int = MIN_LINES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(doc_id, n_lines, n_removed, longest_shared, text) of every row.
+    """(doc_id, n_lines, n_removed, longest_shared, text, carried) of every row.
 
+    `carried` holds the columns `keep`.
     `n_lines` counts the lines with a word, `longest_shared` is the most lines that a
     position shares with an earlier one (0 if fewer than `min_lines`).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        carry.packed(docs, keep or []),
+    )
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     shared = shared_runs(line_positions(rows), min_lines)
     # Each list is bounded by its own text's lines.
@@ -113,4 +124,5 @@ def remove_repeated_lines(
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("longest_shared", F.lit(0)).cast("long").alias("longest_shared"),
         text.alias("text"),
+        carry.CARRIED,
     )

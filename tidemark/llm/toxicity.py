@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import wordhash
+from tidemark.llm import carry, wordhash
 
 #: Labelled rows that the model is fitted on, and the longest text among them: the
 #: sample is collected, so both bound it.
@@ -183,7 +183,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int
 
 
 def score_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) of every row of (doc_id, text)."""
+    """(doc_id, text, score, predicted, carried) of every row of (doc_id, text, carried)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +204,18 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
                     [probability(own.odds(np.fromiter(map(known.__getitem__, w), float, len(w)))) for w in found]
                 )
                 yield pa.record_batch(
-                    [part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                    ["doc_id", "score", "predicted"],
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array(scores),
+                        pa.array((scores >= threshold).astype(np.int32)),
+                        part.column(2),
+                    ],
+                    ["doc_id", "text", "score", "predicted", carry.CARRIED],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id LONG, score DOUBLE, predicted INT")
+    schema = carry.with_carried("doc_id LONG, text STRING, score DOUBLE, predicted INT", docs)
+    return docs.select("doc_id", "text", carry.CARRIED).mapInArrow(score, schema)
 
 
 def toxicity(
@@ -220,8 +227,16 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(doc_id, score, predicted) of every row; `learn` says which ids may be learned from."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text, score, predicted, carried) of every row; `carried` holds the columns `keep`.
+
+    `learn` says which ids may be learned from.
+    """
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        carry.packed(docs, keep or []),
+    )
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     return score_texts(docs, train(*labelled_sample(docs, marked, learn)), threshold)
