@@ -9,7 +9,11 @@ from tidemark.session import materialize
 
 #: Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
-    ("packing", stages.packing),
+    ("toxicity", stages.without_toxic),
+    ("line_dedup", stages.without_repeated_lines),
+    ("near_dedup", stages.without_near_duplicates),
+    ("substring_dedup", stages.without_repeated_windows),
+    ("packing", stages.packed),
 ]
 
 #: Toxicity and packing cannot be written in SQL; tests hold the run against brute force.
