@@ -244,15 +244,21 @@ def remove_repeats(
     )
     bitmap = repeated_cells(sketch(docs, window=window, bits=bits), bits)
     marked = mark_candidates(docs, bitmap, window=window, bits=bits)
-    marked = materialize(marked.withColumn("row", F.monotonically_increasing_id()), "windows-marked")
-    plain = marked.filter("starts IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "text", carry.CARRIED)
-    some = marked.filter("starts IS NOT NULL")
-
-    firsts = some.groupBy("words_key").agg(F.min("doc_id").alias("first_id"))
-    some = some.join(firsts, "words_key").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
-    some = some.select("doc_id", "row", "text", "n_words", "starts", "copy", carry.CARRIED)
-    leaders = some.filter("NOT copy AND doc_id IS NOT NULL")
-    windows = candidate_windows(leaders, window)
+    # Marked twice: most texts have no candidate, and storing them would cost more.
+    plain = marked.filter("starts IS NULL").select(
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "text", carry.CARRIED
+    )
+    some = marked.filter("starts IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    some = materialize(some, "windows-marked")
+
+    names = some.select("row", "doc_id", "words_key")
+    firsts = names.groupBy("words_key").agg(F.min("doc_id").alias("first_id"))
+    copies = names.join(firsts, "words_key").select(
+        "row", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copy")
+    )
+    # Texts are dealt by row once, for hashing their windows and for cutting them.
+    some = some.drop("words_key").join(copies, "row")
+    windows = candidate_windows(some.filter("NOT copy AND doc_id IS NOT NULL"), window)
     earliest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     later = windows.join(earliest.filter("first < last"), ["high", "low"]).filter("doc_id > first")
     # A row's list is bounded by its own words.
