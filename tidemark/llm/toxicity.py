@@ -30,7 +30,7 @@ from tidemark.llm import carry, wordhash
 #: Labelled rows that the model is fitted on, and the longest text among them: the
 #: sample is collected, so both bound it.
 SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 12_000
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 18
 WIDTH = 4
@@ -44,6 +44,8 @@ DECAY = 3e-5
 GAIN = 30.0
 #: Share of predicted toxicity from which a document counts as toxic.
 THRESHOLD = 0.3
+#: Log odds from which a score is 0 or 1.
+CERTAIN = 500.0
 #: Words whose values a worker remembers.
 CACHED_WORDS = 400_000
 
@@ -88,7 +90,9 @@ class Model:
 
 
 def probability(odds: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+    if abs(odds) >= CERTAIN:
+        return float(odds > 0)
+    return float(1 / (1 + np.exp(-odds)))
 
 
 def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +137,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     y = np.array(labels, np.int64)
     values = np.zeros(1 << BUCKET_BITS, np.float32)
     if not len(y) or y.min() == y.max():
-        return Model(values, 500.0 if len(y) and y[0] else -500.0)
+        return Model(values, CERTAIN if len(y) and y[0] else -CERTAIN)
     kept, columns, weights, sizes = _bags(texts)
     ends = np.cumsum(sizes)
     draw = np.random.default_rng(seed)
