@@ -272,3 +272,37 @@ def test_only_planned_partitions_are_read(spark, tmp_root):
     rows = sinks.only_partitions(spark.read.parquet(path), wanted, ("dt",))
     assert rows.count() == 1
     assert "PartitionFilters: [isnotnull(dt" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_second_batch_keeps_stored_rows(spark, tmp_root, bronze, event):
+    first = bronze(event(), event(event_id="evt-2"), event(event_id="evt-3"))
+    flow.run_batch(spark, first, tmp_root, "2026-01-03T00:00:00Z")
+    second = bronze(event(event_id="evt-4")).selectExpr("raw", "concat('b/', source_key) AS source_key", "landed_at")
+    flow.run_batch(spark, second, tmp_root, "2026-01-03T00:00:00Z")
+    assert sinks.read_silver(spark, f"{tmp_root}/silver/events").count() == 4
+    assert sinks.read_gold(spark, f"{tmp_root}/gold/metrics").first()["events"] == 4
+
+
+def test_clean_batch_does_not_publish_a_refused_one(spark, tmp_root, bronze, event):
+    flow.run_batch(spark, bronze(event(user_id="")), tmp_root, "2026-01-03T00:00:00Z")
+    other = bronze(event(event_id="evt-9", event_ts="2026-01-03T01:00:00Z")).selectExpr(
+        "raw", "concat('b/', source_key) AS source_key", "landed_at"
+    )
+    assert flow.run_batch(spark, other, tmp_root, "2026-01-03T00:00:00Z")["passed"]
+    assert [r["dt"] for r in sinks.read_gold(spark, f"{tmp_root}/gold/metrics").collect()] == ["2026-01-03"]
+
+
+def test_retry_of_a_failed_run_adds_nothing(spark, tmp_root, bronze, event):
+    frame = bronze(event(user_id=""), event(event_id="evt-2", quantity=0))
+    for _ in range(2):
+        flow.run_batch(spark, frame, tmp_root, "2026-01-03T00:00:00Z")
+    assert spark.read.parquet(f"{tmp_root}/silver/quarantine").count() == 1
+    assert sinks.recent_reports(spark, f"{tmp_root}/silver/quality").count() == 1
+
+
+def test_ties_of_the_last_write_do_not_depend_on_the_layout(spark):
+    from tidemark.operators.identity import last_write
+
+    rows = spark.createDataFrame([(1, 5, f"v{i}") for i in range(40)], "k INT, at INT, v STRING")
+    winners = {last_write(rows.repartition(n), ("k",), ("at",)).first()["v"] for n in (1, 2, 3, 7, 13)}
+    assert len(winners) == 1

@@ -16,10 +16,11 @@ def last_write(df: DataFrame, keys: tuple[str, ...], order: tuple[str | Column,
 
     An aggregate rather than a ranking window: copies of a key collapse on the
     map side, so a key with a third of all rows reaches its reducer as one row
-    per map task. ``order`` should be total; equal orders keep an arbitrary row.
+    per map task. A hash of the content breaks ties, so the same rows give the
+    same winner however they are dealt.
     """
     rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order], F.xxhash64(*rest).alias("_tie"))
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
     return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import cleanse as C
-from tidemark.session import spread
 
 # Fixed parameters of the derived data set.
 WATERMARK = "2024-01-16T00:00:00Z"
@@ -51,7 +50,14 @@ def with_bronze(events_df: DataFrame) -> DataFrame:
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_bronze(spread(events(spark, sf_dir)))
+    """Bronze of all events.
+
+    A test table of one small file is read by one task. Only where the session sets
+    tidemark.feed.partitions, as the bench does, its rows are dealt out first.
+    """
+    rows = events(spark, sf_dir)
+    parts = spark.conf.get("tidemark.feed.partitions", None)
+    return with_bronze(rows.repartition(int(parts)) if parts else rows)
 
 
 def cleansed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), gate: bool = False) -> DataFrame:

@@ -108,15 +108,18 @@ def run_batch(
     rows = rows.withColumn("raw", F.when(F.col("reason").isNotNull() | (F.size("checks") > 0), F.col("raw")))
     staged = materialize(rows, "cleansed")
     valid = staged.filter(F.col("reason").isNull())
-    sinks.write_silver(C.accepted(staged), f"{root}/silver/events")
-    sinks.write_silver_quarantine(C.quarantined(staged), f"{root}/silver/quarantine")
+    touched = sinks.upsert_silver(C.accepted(staged), f"{root}/silver/events")
+    # The gate judges what Gold would read: all rows of the partitions that this run touched.
+    stored = sinks.read_silver(spark, f"{root}/silver/events") if not touched.isEmpty() else None
+    silver = Q.with_checks(C.accepted(staged) if stored is None else sinks.only_partitions(stored, touched, ("event_type", "dt")))
 
-    tallied = Q.tally(valid)
-    report = Q.report(tallied, run_id, on_fail, max_fail_ratio)
+    report = materialize(Q.report(Q.tally(silver), run_id, on_fail, max_fail_ratio), "report")
     sinks.write_report(report, f"{root}/silver/quality", started.date().isoformat())
     gate = report.first()
+    refused = C.quarantined(staged)
     if gate["action"] == "quarantine":
-        sinks.write_silver_quarantine(Q.failing(valid), f"{root}/silver/quarantine")
+        refused = refused.unionByName(Q.failing(valid), allowMissingColumns=True)
+    sinks.write_silver_quarantine(refused, f"{root}/silver/quarantine", run_id)
 
     counts = staged.agg(
         F.count_if(F.col("reason").isNull()).alias("valid"),
@@ -125,14 +128,13 @@ def run_batch(
         F.max("event_ts").alias("latest_event_ts"),
     ).first()
 
-    silver = sinks.read_silver(spark, f"{root}/silver/events")
     status, gold_rows = "succeeded", 0
     if not gate["passed"] and gate["action"] == "fail":
         status = "quality_failed"
     if gate["passed"]:
-        gold_rows = write_gold_zone(silver, root)
+        gold_rows = write_gold_zone(silver, root, run_id)
     elif gate["action"] == "quarantine" and promote_clean:
-        gold_rows = write_gold_zone(Q.passing(Q.with_checks(silver)), root)
+        gold_rows = write_gold_zone(Q.passing(silver), root, run_id)
 
     metrics = {
         "valid": counts["valid"],
@@ -152,7 +154,7 @@ def run_batch(
     return {"run_id": run_id, "status": status, "replay": False, "passed": gate["passed"], "action": gate["action"], **metrics}
 
 
-def write_gold_zone(silver: DataFrame, root: str) -> int:
+def write_gold_zone(silver: DataFrame, root: str, run_id: str) -> int:
     """Aggregate, split by contract, write metrics and rejects; rows accepted."""
     checked = materialize(G.with_metric_faults(G.daily_metrics(silver, ordered=False)), "gold")
     good, bad = G.accepted_metrics(checked), G.rejected_metrics(checked)
@@ -162,7 +164,7 @@ def write_gold_zone(silver: DataFrame, root: str) -> int:
         F.to_json(F.struct("dt", "event_type", "events", "amount_usd")).alias("payload"), F.lit("gold").alias("zone"),
     )
     if not bad.isEmpty():
-        sinks.write_gold_quarantine(rejects, f"{root}/gold/quarantine")
+        sinks.write_gold_quarantine(rejects, f"{root}/gold/quarantine", run_id)
     return good.count()
 
 

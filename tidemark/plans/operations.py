@@ -707,6 +707,44 @@ def gated_run(spark, sf):
     return sinks.read_gold(spark, f"{root}/gold/metrics").drop("metric_day")
 
 
+@report(
+    "incremental_run",
+    """SELECT event_type AS metric, dt, count(*) AS events, round(sum(amount_usd), 2) AS amount_usd
+       FROM silver WHERE user_id <> '' GROUP BY event_type, dt""",
+)
+def incremental_run(spark, sf):
+    """The same events in two batches that share days and some ids: Gold as after one batch."""
+    root = scratch_path(spark, "run")
+    bronze = materialize(feed.bronze(spark, sf), "bronze")
+    late = F.pmod(F.xxhash64("source_key"), F.lit(3)) == 0
+    shared = F.pmod(F.xxhash64("source_key"), F.lit(10)) == 0
+    for batch in (bronze.filter(~late), bronze.filter(late | shared)):
+        flow.run_batch(spark, batch, root, feed.WATERMARK, on_fail="quarantine", promote_clean=True)
+    return sinks.read_gold(spark, f"{root}/gold/metrics").drop("metric_day")
+
+
+@report(
+    "gate_blocks",
+    """SELECT event_type AS metric, dt, count(*) AS events, round(sum(amount_usd), 2) AS amount_usd
+       FROM silver WHERE dt > '2024-01-15'
+       GROUP BY event_type, dt HAVING count_if(user_id = '') = 0""",
+)
+def gate_blocks(spark, sf):
+    """Batches by day range: refused ones never reach Gold, later clean ones do not bring them in."""
+    root = scratch_path(spark, "run")
+    silver = feed.cleansed(spark, sf, keep=("source_key", "landed_at"), gate=True)
+    bronze = materialize(feed.bronze(spark, sf), "bronze")
+    days = F.regexp_extract("source_key", "dt=([0-9-]+)", 1)
+    flow.run_batch(spark, bronze.filter(days <= "2024-01-15"), root, feed.WATERMARK, on_fail="fail")
+    faulty = materialize(
+        silver.filter("reason IS NULL AND size(checks) > 0").select("event_type", "dt").distinct(), "faulty"
+    )
+    typed = materialize(C.accepted(silver).filter("dt > '2024-01-15'").select("event_type", "dt", "source_key"), "typed")
+    clean = typed.join(faulty, ["event_type", "dt"], "left_anti").select("source_key")
+    flow.run_batch(spark, bronze.join(clean, "source_key", "left_semi"), root, feed.WATERMARK, on_fail="fail")
+    return sinks.read_gold(spark, f"{root}/gold/metrics").drop("metric_day")
+
+
 @report(
     "compact_apply",
     "SELECT event_type, dt, count(*) AS events, true AS compacted FROM silver GROUP BY event_type, dt",

@@ -12,9 +12,6 @@ from tidemark.schemas import GOLD_SCHEMA, RUN_SCHEMA, SILVER_SCHEMA
 from tidemark.session import materialize
 
 
-MAX_LISTED_PARTITIONS = 10_000
-
-
 def write_partitions(df: DataFrame, path: str, columns: tuple[str, ...], rebalance: bool = True) -> None:
     """Replace the partitions present in the frame, leave the others.
 
@@ -54,31 +51,39 @@ def write_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("land
 
 
 def only_partitions(stored: DataFrame, wanted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of the listed partitions of a stored table, and no files of others.
+    """Rows of the listed partitions of a stored table.
 
-    A short list becomes literal filters on the partition columns, which prune
-    before any file is opened. A longer one is matched by the join alone.
+    The bounds of each partition column, one row whatever the list's length, become
+    literal filters that prune before any file is opened; the join makes it exact.
     """
-    listed = wanted.select(*columns).distinct()
-    some = listed.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(some) <= MAX_LISTED_PARTITIONS:
-        for name in columns:
-            stored = stored.filter(F.col(name).isin(sorted({row[name] for row in some})))
-        listed = wanted.sparkSession.createDataFrame(some, wanted.select(*columns).schema)
-    return stored.join(listed, list(columns), "left_semi")
+    bounds = wanted.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]).first()
+    for name in columns:
+        stored = stored.filter(F.col(name).between(bounds[f"low_{name}"], bounds[f"high_{name}"]))
+    return stored.join(wanted.select(*columns).distinct(), list(columns), "left_semi")
 
 
-def upsert_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("landed_at",)) -> None:
-    """Merge a partial batch into the partitions it touches.
+def upsert_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("landed_at",)) -> DataFrame:
+    """Merge a partial batch into the partitions it touches; returns these partitions.
 
     Only those partitions are read and replaced. The merged rows are staged
     first, so the table is never read while it is being replaced.
     """
     spark = accepted.sparkSession
+    columns = ("event_type", "dt")
     batch = materialize(accepted.select(*SILVER_SCHEMA.names), "silver-batch")
-    stored = only_partitions(read_silver(spark, path), batch, ("event_type", "dt"))
-    merged = last_write(stored.select(*SILVER_SCHEMA.names).unionByName(batch), SILVER_IDENTITY, order)
-    write_partitions(materialize(merged, "silver-merge"), path, ("event_type", "dt"))
+    touched = materialize(batch.select(*columns).distinct(), "silver-touched")
+    rows = batch
+    if is_stored(spark, path):
+        rows = only_partitions(read_silver(spark, path), touched, columns).select(*SILVER_SCHEMA.names).unionByName(batch)
+    merged = last_write(rows, SILVER_IDENTITY, order)
+    write_partitions(materialize(merged, "silver-merge"), path, columns)
+    return touched
+
+
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def quarantine_rows(quarantined: DataFrame) -> DataFrame:
@@ -93,9 +98,10 @@ def quarantine_rows(quarantined: DataFrame) -> DataFrame:
     )
 
 
-def write_silver_quarantine(quarantined: DataFrame, path: str, mode: str = "append") -> None:
-    rows = quarantine_rows(quarantined).hint("rebalance", "reason")
-    rows.write.mode(mode).partitionBy("reason").parquet(path)
+def write_silver_quarantine(quarantined: DataFrame, path: str, run_id: str) -> None:
+    """Rejected rows by run and reason; a repeated run replaces its own."""
+    rows = quarantine_rows(quarantined).withColumn("run_id", F.lit(run_id))
+    write_partitions(rows, path, ("run_id", "reason"))
 
 
 def write_gold(gold: DataFrame, path: str) -> None:
@@ -117,13 +123,20 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SILVER_SCHEMA).parquet(path)
 
 
-def write_gold_quarantine(rows: DataFrame, path: str) -> None:
-    append_partitions(rows, path, ("reason", "metric", "dt"))
+def write_gold_quarantine(rows: DataFrame, path: str, run_id: str) -> None:
+    """Rejected metric rows by run; a repeated run replaces its own."""
+    write_partitions(rows.withColumn("run_id", F.lit(run_id)), path, ("run_id", "reason", "metric", "dt"))
 
 
 def write_report(report: DataFrame, path: str, day: str) -> None:
-    """One JSON report per run, by day."""
-    report.withColumn("dt", F.lit(day)).coalesce(1).write.mode("append").partitionBy("dt").json(path)
+    """One JSON report per run, by day; a repeated run replaces its own."""
+    rows = report.withColumn("dt", F.lit(day)).coalesce(1)
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dt", "run_id")
+        .json(path)
+    )
 
 
 def recent_reports(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
