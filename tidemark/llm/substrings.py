@@ -6,7 +6,7 @@ smallest hash of the short word runs inside it, which equal windows share and wh
 neighbouring windows mostly share too, so a document adds few keys, each once; the
 estimate of a window is never below the number of documents that have it. Second
 pass: only windows estimated to be in two documents or more are grouped, exactly, by
-a 128-bit hash of their words. The cells that hold two or more reach the tasks as two
+a 96-bit hash of their words. The cells that hold two or more reach the tasks as two
 bitmaps whose size is a fixed parameter; when they fill up, more windows are grouped,
 and none is lost.
 
@@ -155,27 +155,33 @@ def mark_candidates(docs: DataFrame, bitmap: np.ndarray, *, window: int, bits: i
 
 
 def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(high, low, doc_id, row, at) of every marked window of (doc_id, row, text, starts)."""
+    """(high, low, doc_id, row, at) of every marked window of the rows that are no copies.
+
+    All columns of `rows` go in, so that its exchange serves this and the cutting alike.
+    """
+    places = {name: rows.columns.index(name) for name in ("doc_id", "row", "text", "starts", "copy")}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers = batch.column(0), batch.column(1)
-            for i, (text, starts) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(starts.as_py(), np.uint8)))
-                high, low = window_hashes(wordhash.hashes(wordhash.words(text.as_py())), window)
+            columns = {name: batch.column(place) for name, place in places.items()}
+            for i in range(batch.num_rows):
+                doc_id = columns["doc_id"][i].as_py()
+                if doc_id is None or columns["copy"][i].as_py():
+                    continue
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(columns["starts"][i].as_py(), np.uint8)))
+                high, low = window_hashes(wordhash.hashes(wordhash.words(columns["text"][i].as_py())), window)
                 yield pa.record_batch(
                     [
                         pa.array(high[at]),
-                        pa.array(low[at]),
-                        pa.array(np.full(len(at), ids[i].as_py(), np.int64)),
-                        pa.array(np.full(len(at), numbers[i].as_py(), np.int64)),
+                        pa.array((low[at] >> 32).astype(np.int32)),
+                        pa.array(np.full(len(at), doc_id, np.int64)),
+                        pa.array(np.full(len(at), columns["row"][i].as_py(), np.int64)),
                         pa.array(at.astype(np.int32)),
                     ],
                     ["high", "low", "doc_id", "row", "at"],
                 )
 
-    chosen = rows.select("doc_id", "row", "text", "starts")
-    return chosen.mapInArrow(emit, "high LONG, low LONG, doc_id LONG, row LONG, at INT")
+    return rows.mapInArrow(emit, "high LONG, low INT, doc_id LONG, row LONG, at INT")
 
 
 def cut_words(text: str, gone: np.ndarray) -> str:
@@ -192,11 +198,13 @@ def cut_words(text: str, gone: np.ndarray) -> str:
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
     """(doc_id, n_words, n_removed, text, carried) from (doc_id, text, n_words, copy, cuts, carried)."""
+    places = {name: i for i, name in enumerate(rows.columns)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, texts = [], []
-            for text, n, copy, cuts in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            inputs = (batch.column(places[name]).to_pylist() for name in ("text", "n_words", "copy", "cuts"))
+            for text, n, copy, cuts in zip(*inputs, strict=True):
                 # A window's start adds one, its end takes it away again.
                 steps = np.zeros(n + 1, np.int64)
                 if copy:
@@ -210,17 +218,16 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                 texts.append(cut_words(text, gone) if removed[-1] else text)
             yield pa.record_batch(
                 [
-                    batch.column(0),
-                    batch.column(2),
+                    batch.column(places["doc_id"]),
+                    batch.column(places["n_words"]),
                     pa.array(removed, pa.int64()),
                     pa.array(texts, pa.string()),
-                    batch.column(5),
+                    batch.column(places[carry.CARRIED]),
                 ],
                 ["doc_id", "n_words", "n_removed", "text", carry.CARRIED],
             )
 
-    chosen = rows.select("doc_id", "text", "n_words", "copy", "cuts", carry.CARRIED)
-    return chosen.mapInArrow(cut, carry.with_carried("doc_id LONG, n_words LONG, n_removed LONG, text STRING", rows))
+    return rows.mapInArrow(cut, carry.with_carried("doc_id LONG, n_words LONG, n_removed LONG, text STRING", rows))
 
 
 def remove_repeats(
@@ -258,9 +265,9 @@ def remove_repeats(
     )
     # Texts are dealt by row once, for hashing their windows and for cutting them.
     some = some.drop("words_key").join(copies, "row")
-    windows = candidate_windows(some.filter("NOT copy AND doc_id IS NOT NULL"), window)
-    earliest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    later = windows.join(earliest.filter("first < last"), ["high", "low"]).filter("doc_id > first")
+    windows = candidate_windows(some, window)
+    earliest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+    later = windows.join(earliest, ["high", "low"]).filter("doc_id > first")
     # A row's list is bounded by its own words.
     cuts = later.groupBy("row").agg(F.collect_list("at").alias("cuts"))
     return plain.unionByName(_cut(some.join(cuts, "row", "left"), window))
