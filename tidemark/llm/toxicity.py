@@ -17,6 +17,7 @@ further columns of the input are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from tidemark.llm import carry, wordhash
 
 #: Labelled rows that the model is fitted on, and the longest text among them: the
 #: sample is collected, so both bound it.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 7_000
 SAMPLE_CHARS = 12_000
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 18
@@ -66,9 +67,9 @@ def ngram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         total = np.full(len(fits), np.uint64(n))
         for i in range(n):
             total = total * np.uint64(0x9E3779B97F4A7C15) + mixed[fits + i]
-        found.append(wordhash.mix(total) >> np.uint64(64 - BUCKET_BITS))
+        found.append((wordhash.mix(total) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
         owners.append(owner[fits])
-    buckets, owners_of = np.concatenate(found).astype(np.int64), np.concatenate(owners)
+    buckets, owners_of = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners_of, kind="stable")
     return buckets[order], np.bincount(owners_of, minlength=len(words))
 
@@ -108,28 +109,35 @@ def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         ids = np.array([index.setdefault(w, len(index)) for w in found], np.int64)
         rows.append(np.unique(ids, return_counts=True))
     names = list(index)
-    parts = [ngram_buckets(names[at : at + 50_000]) for at in range(0, len(names), 50_000)]
-    grams = np.concatenate([np.empty(0, np.int64), *(p[0] for p in parts)]).astype(np.int64)
+    del index
+    parts = [ngram_buckets(names[at : at + 20_000]) for at in range(0, len(names), 20_000)]
     spans = np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)]).astype(np.int64)
+    grams = np.concatenate([np.empty(0, np.int32), *(p[0] for p in parts)])
+    del names, parts
     begins = np.cumsum(spans) - spans
-    bags, seen = [], np.zeros(1 << BUCKET_BITS, np.int32)
-    for ids, counts in rows:
+
+    def bag(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = spans[ids]
         at = np.repeat(begins[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         share = np.repeat(counts / (max(counts.sum(), 1) * n), n)
         buckets, place = np.unique(grams[at], return_inverse=True)
-        bags.append((buckets.astype(np.int32), np.bincount(place, share, len(buckets)).astype(np.float32)))
-        seen[buckets] += 1
+        return buckets, np.bincount(place, share, len(buckets)).astype(np.float32)
+
+    # Built twice, so that no more is held than what is kept.
+    seen = np.zeros(1 << BUCKET_BITS, np.int32)
+    for ids, counts in rows:
+        seen[bag(ids, counts)[0]] += 1
     kept = np.flatnonzero(seen >= MIN_ROWS)
     number = np.full(len(seen), -1, np.int32)
     number[kept] = np.arange(len(kept), dtype=np.int32)
-    columns, weights, sizes = [np.empty(0, np.int32)], [np.empty(0, np.float32)], []
-    for buckets, share in bags:
+    columns, weights, sizes = array("i"), array("f"), []
+    for ids, counts in rows:
+        buckets, share = bag(ids, counts)
         new = number[buckets]
-        columns.append(new[new >= 0])
-        weights.append(share[new >= 0])
-        sizes.append(len(columns[-1]))
-    return kept, np.concatenate(columns), np.concatenate(weights), np.array(sizes, np.int64)
+        columns.frombytes(new[new >= 0].tobytes())
+        weights.frombytes(share[new >= 0].tobytes())
+        sizes.append(int((new >= 0).sum()))
+    return kept, np.frombuffer(columns, np.int32), np.frombuffer(weights, np.float32), np.array(sizes, np.int64)
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
