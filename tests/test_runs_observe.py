@@ -54,14 +54,6 @@ def test_lag_is_never_negative(spark):
     assert got["PipelineLagSeconds"] == 0.0
 
 
-def test_run_id_resolution():
-    assert R.resolve_run_id("x", {"run_id": "y"}, "z") == "x"
-    assert R.resolve_run_id(None, {"run_id": " y "}, "z") == "y"
-    assert R.resolve_run_id(None, {"pipeline_run_id": "p"}) == "p"
-    assert R.resolve_run_id(None, {"run_id": 5}, " z ") == "z"
-    assert R.resolve_run_id() != R.resolve_run_id()
-
-
 def test_versions_limit_and_lookup(spark):
     rows = [("a", "running", 1), ("a", "succeeded", 2), ("b", "failed", 3)]
     log = spark.createDataFrame(rows, "run_id STRING, status STRING, s INT").withColumn("started_at", F.timestamp_seconds("s"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,16 +12,6 @@ from tidemark.operators.identity import last_write
 from tidemark.schemas import METRIC_UNITS, QUALITY_RESULT, RUN_SCHEMA, RUN_STATUSES, RUN_STEPS, RUN_ZONES
 
 
-def resolve_run_id(explicit: str | None = None, event: dict | None = None, env: str | None = None) -> str:
-    """Explicit id, else the trigger's, else the environment's, else a new one."""
-    event = event or {}
-    from_event = event.get("run_id") or event.get("pipeline_run_id")
-    for value in (explicit, from_event, env):
-        if isinstance(value, str) and value.strip():
-            return value if value is explicit else value.strip()
-    return str(uuid.uuid4())
-
-
 def run_record(
     spark: SparkSession,
     run_id: str,

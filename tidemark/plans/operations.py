@@ -677,8 +677,7 @@ def sample_gold(spark, sf):
 def catalog_table(spark, sf):
     """Gold through an external table with partition columns metric and dt."""
     location = _stored_gold(spark, sf)
-    spark.sql(f"DROP TABLE IF EXISTS default.{GOLD_CONTRACT['name']}")
-    name = catalog.create_table(spark, GOLD_CONTRACT, location, {"metric": "event_type"}, database="default")
+    name = catalog.create_table(spark, GOLD_CONTRACT, location, {"metric": "event_type"}, database="tidemark_query")
     return spark.table(name).select("metric", "dt", "events", "amount_usd")
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.partitions import projected_partitions
-from tidemark.schemas import EVENT_TYPES, GOLD_CONTRACT, SILVER_CONTRACT
+from tidemark.schemas import GOLD_CONTRACT, SILVER_CONTRACT
 
 DATABASE = "medallion"
-FIRST_DAY = "2024-01-01"
 
 # Catalog type of each contract type.
 CATALOG_TYPES = {
@@ -33,37 +32,36 @@ def split_columns(contract: dict, aliases: dict[str, str] | None = None) -> tupl
     return data, [(name, "STRING") for name in hive]
 
 
-def layout_properties(location: str, enum_key: str, values=EVENT_TYPES, date_key: str = "dt", start: str = FIRST_DAY) -> dict:
-    """Declared value range of the partition keys, stored with the table."""
-    return {
-        "projection.enabled": "true",
-        f"projection.{enum_key}.type": "enum",
-        f"projection.{enum_key}.values": ",".join(values),
-        f"projection.{date_key}.type": "date",
-        f"projection.{date_key}.format": "yyyy-MM-dd",
-        f"projection.{date_key}.interval": "1",
-        f"projection.{date_key}.interval.unit": "DAYS",
-        f"projection.{date_key}.range": f"{start},NOW",
-        "storage.location.template": f"{location.rstrip('/')}/{enum_key}=${{{enum_key}}}/{date_key}=${{{date_key}}}/",
-    }
+def _qualified(spark: SparkSession, location: str) -> str:
+    place = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+
+
+def _location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").collect()
+    return _qualified(spark, rows[0]["data_type"])
 
 
 def create_table(
     spark: SparkSession, contract: dict, location: str, aliases: dict[str, str] | None = None, database: str = DATABASE
 ) -> str:
-    """Create the external table and load the partitions found below it."""
+    """Create the external table, or point it at the location, and load the partitions found there."""
     data, parts = split_columns(contract, aliases)
     columns = ", ".join(f"`{n}` {t}" for n, t in data + parts)
     keys = ", ".join(f"`{n}`" for n, _ in parts)
-    properties = layout_properties(location, parts[0][0])
-    listed = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     name = f"{database}.{contract['name']}"
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({keys}) "
-        f"LOCATION '{location}' TBLPROPERTIES ({listed})"
+        f"LOCATION '{location}'"
     )
+    if _location(spark, name) != _qualified(spark, location):
+        for row in spark.sql(f"SHOW PARTITIONS {name}").collect():  # names of a table's partitions
+            spec = ", ".join("{}='{}'".format(*part.split("=", 1)) for part in row[0].split("/"))
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
     spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
     return name
 
 
