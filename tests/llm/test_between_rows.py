@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from tidemark.llm import imatch, minmax, substrings, suffixes, wordhash
+from tidemark.llm import imatch, minmax, stages, substrings, suffixes, wordhash
 from tests.llm.conftest import prose
 
 
@@ -119,6 +119,14 @@ def test_line_runs_against_counting(documents, empty, texts):
     assert suffixes.remove_repeated_lines(empty).collect() == []
 
 
+def test_line_stage_takes_single_lines_and_paragraphs_between_blank_lines(spark):
+    one, two = " ".join(prose(300, 12)), " ".join(prose(301, 12))
+    rows = [(1, f"{one}\n\n{two}"), (2, f"first own\n\n{one}\n\n{two}\n\nlast own"), (3, one), (4, f"own\n{two}\nmore"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    left = {r["doc_id"]: r["text"] for r in stages.without_repeated_lines(spark, docs, "").collect()}
+    assert left == {1: rows[0][1], 2: "first own\n\n\n\nlast own", 4: "own\nmore", 5: None}
+
+
 def test_longer_runs_only(documents):
     got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeated_lines(documents, min_lines=5).collect()}
     assert got[31] == 6 and got[32] == 0

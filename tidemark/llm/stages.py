@@ -31,9 +31,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; those of which nothing is left go."""
+    """Documents without later copies of lines; those of which nothing is left go.
+
+    From one line on: a later copy goes also if it stands alone, between blank lines or as the whole text.
+    """
     keep = carry.others(docs, "doc_id", "text")
-    cut = suffixes.remove_repeated_lines(docs, keep=keep)
+    cut = suffixes.remove_repeated_lines(docs, min_lines=1, keep=keep)
     return _as_documents(cut.filter("n_removed = 0 OR n_removed < n_lines"), docs, keep)
 
 
