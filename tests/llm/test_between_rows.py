@@ -152,6 +152,34 @@ def test_fingerprints(documents, empty, texts):
     assert imatch.fingerprint_documents(empty).collect() == []
 
 
+def test_fingerprints_of_copies_and_of_texts_without_band_terms(spark):
+    # Two groups of copies hold a fifth of the rows each; the others share no term with anything.
+    one, two = " ".join(prose(400, 40)), " ".join(prose(401, 40))
+    rows = [(i, one) for i in range(100)] + [(100 + i, two) for i in range(100)] + [(200 + i, f"only{i} here{i}") for i in range(300)]
+    rows += [(500, ""), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = {r["doc_id"]: r for r in imatch.fingerprint_documents(docs).collect()}
+    prints = defaultdict(set)
+    for i, t in rows:
+        prints[t or ""].add(got[i]["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values())
+    assert len({min(p) for p in prints.values()}) == len(prints) == 303
+    assert all(got[i]["near_next"] == 1 for i in (*range(99), *range(100, 199), 500))
+    assert all(got[i]["near_edited"] == 1 for i in (500,))
+    assert all(got[i]["near_next"] == 0 for i in (*range(200, 500), 501))
+    assert set(got[0]["fingerprint"].split()) != {"-"}
+
+
+def test_copies_do_not_move_the_band(spark):
+    rows = [(i, f"word{i} shared{i // 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    more = spark.createDataFrame([(1000 + i, rows[0][1]) for i in range(300)], "doc_id LONG, text STRING")
+    before, after = (
+        {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint_documents(d).collect()} for d in (docs, docs.unionByName(more))
+    )
+    assert {i: after[i] for i in before} == before
+
+
 def test_one_document_follows_itself(spark):
     docs = spark.createDataFrame([(1, "abcdef")], "doc_id LONG, text STRING")
     row = imatch.fingerprint_documents(docs).first()

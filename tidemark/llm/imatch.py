@@ -5,18 +5,22 @@ nothing, too rare ones are mostly noise. A fingerprint sorts a text's distinct l
 terms and hashes them, once with the whole lexicon and once with each of several random
 parts of it. An edit changes the hash of a part only if it touches a term of that part,
 so small parts survive edits that the whole does not; parts of several sizes serve texts
-of all lengths. The likeness of two fingerprints is the share of equal hashes among the
-parts in which either text has a term.
+of all lengths. A last part hashes all terms of the text, so that only equal sets of terms
+have equal fingerprints. The likeness of two fingerprints is the share of equal hashes among
+the parts in which either text has a term.
 
-The band's lower edge is a share of all documents, so the lexicon has at most
-(mean distinct terms of a document) / (that share) terms, however many documents there are;
+Document frequencies count distinct texts, so the copies of a text do not push its terms
+out of the band. A text without a term of the lexicon takes all of its own terms instead.
+
+The band's lower edge is a share of the distinct texts, so the lexicon has at most
+(mean distinct terms of a text) / (that share) terms, however many texts there are;
 it is broadcast only if its counted size confirms that.
 
 Everything is DataFrame operations. Terms are words between blanks, tabs and line breaks,
 in lower case, and stand as 64-bit hashes.
 
-Defined results: a null text counts as empty; a text without lexicon terms has a
-fingerprint of empty parts, whose likeness to any other is 0; documents follow each other
+Defined results: a null text counts as empty; a text without a word has a fingerprint of
+empty parts, like only to another such; documents follow each other
 by id (nulls first) and then by a hash of the text, the last is followed by the first; rows
 of equal id and text are one document and get equal results; an empty table gives an empty
 result; further columns of the input are not read.
@@ -29,9 +33,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-#: Shares of the documents between which a lexicon term's document frequency lies.
+#: Shares of the distinct texts between which a lexicon term's document frequency lies.
 RAREST, COMMONEST = 1 / 1000, 1 / 50
-#: A term in fewer documents tells no two of them alike.
+#: A term in fewer texts tells no two of them alike.
 LEAST_DOCUMENTS = 2
 #: Parts of the lexicon: so many random parts of the size 2^-level.
 PARTS = {3: 3, 5: 5, 7: 8, 9: 8}
@@ -52,10 +56,24 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(rows: DataFrame, documents: int) -> DataFrame:
+def distinct_texts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(text) of every distinct text once, and their number.
+
+    Only texts that occur again are dealt out; a group of copies reaches its task as one row of each.
+    """
+    keyed = rows.select(F.xxhash64("text").alias("copy"), "text")
+    keys = materialize(keyed.groupBy("copy").agg(F.count("*").alias("n")), "imatch-copies")
+    again = materialize(keys.filter("n > 1").select("copy"), "imatch-again")
+    single = keyed.join(again, "copy", "left_anti").select("text")
+    once = keyed.join(again, "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text")).select("text")
+    return single.unionByName(once), keys.count()
+
+
+def lexicon(rows: DataFrame) -> DataFrame:
     """(term): the terms of the band."""
-    counted = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    low, high = max(LEAST_DOCUMENTS, RAREST * documents), COMMONEST * documents
+    texts, number = distinct_texts(rows)
+    counted = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    low, high = max(LEAST_DOCUMENTS, RAREST * number), COMMONEST * number
     return counted.filter((F.col("df") >= low) & (F.col("df") <= max(high, low))).select("term")
 
 
@@ -97,19 +115,20 @@ def edited_texts(rows: DataFrame, order: DataFrame) -> DataFrame:
     return rows.select("row", "text").join(heads, "row").select("row", "text", F.concat(kept, "head").alias("edited"))
 
 
-def _parts(sorted_terms: Column) -> Column:
-    """Hashes of a text's terms in the whole lexicon and in each part; null where it has none."""
+def _hashed(own: Column) -> Column:
+    return F.when(F.size(own) > 0, F.xxhash64(own))
+
 
-    def hashed(own: Column) -> Column:
-        return F.when(F.size(own) > 0, F.xxhash64(own))
+def _parts(sorted_terms: Column, all_terms: Column) -> Column:
+    """Hashes of a text's terms in the whole lexicon and in each part, then of all; null where it has none."""
 
     def drawn(seed: int, level: int):
         mask = F.lit((1 << level) - 1).cast("long")
         return lambda term: F.xxhash64(term, F.lit(100 * level + seed)).bitwiseAND(mask) == 0
 
-    parts = [hashed(sorted_terms)]
-    parts += [hashed(F.filter(sorted_terms, drawn(seed, level))) for level, count in PARTS.items() for seed in range(count)]
-    return F.array(*parts)
+    parts = [_hashed(sorted_terms)]
+    parts += [_hashed(F.filter(sorted_terms, drawn(seed, level))) for level, count in PARTS.items() for seed in range(count)]
+    return F.array(*parts, _hashed(all_terms))
 
 
 def fingerprints(texts: DataFrame, lexicon_terms: DataFrame) -> DataFrame:
@@ -118,7 +137,7 @@ def fingerprints(texts: DataFrame, lexicon_terms: DataFrame) -> DataFrame:
     The texts are dealt by row, and so is what is grouped here: nothing moves again.
     """
     small = lexicon_terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    known = F.broadcast(lexicon_terms) if small else lexicon_terms
+    band = F.broadcast(lexicon_terms) if small else lexicon_terms
     both = F.array(
         F.struct(F.lit(False).alias("changed"), terms(F.col("text")).alias("terms")),
         F.struct(F.lit(True).alias("changed"), terms(F.col("edited")).alias("terms")),
@@ -126,15 +145,31 @@ def fingerprints(texts: DataFrame, lexicon_terms: DataFrame) -> DataFrame:
     split = texts.select("row", F.sha2("edited", 256).alias("edited_sha256"), F.inline(both))
     found = split.select("row", "edited_sha256", "changed", F.explode_outer("terms").alias("term"))
     # A left join keeps texts without any term of the lexicon.
-    marked = found.join(known.withColumn("known", F.lit(True)), "term", "left")
-    in_band = F.when(F.col("known"), F.col("term"))
+    marked = found.join(band.withColumn("known", F.lit(True)), "term", "left")
+    known, changed = F.col("known"), F.col("changed")
+
+    def gathered(where: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(where, F.col("term"))))
+
     grouped = marked.groupBy("row").agg(
         F.first("edited_sha256").alias("edited_sha256"),
-        F.array_sort(F.collect_set(F.when(~F.col("changed"), in_band))).alias("own"),
-        F.array_sort(F.collect_set(F.when(F.col("changed"), in_band))).alias("other"),
+        gathered(~changed & known).alias("own_band"),
+        gathered(changed & known).alias("other_band"),
+        gathered(~changed).alias("own_all"),
+        gathered(changed).alias("other_all"),
+    )
+    chosen = grouped.select(
+        "row",
+        "edited_sha256",
+        "own_all",
+        "other_all",
+        *(F.when(F.size(f"{x}_band") > 0, F.col(f"{x}_band")).otherwise(F.col(f"{x}_all")).alias(x) for x in ("own", "other")),
     )
-    return grouped.select(
-        "row", _parts(F.col("own")).alias("parts"), _parts(F.col("other")).alias("edited_parts"), "edited_sha256"
+    return chosen.select(
+        "row",
+        _parts(F.col("own"), F.col("own_all")).alias("parts"),
+        _parts(F.col("other"), F.col("other_all")).alias("edited_parts"),
+        "edited_sha256",
     )
 
 
@@ -143,11 +178,11 @@ def shown(parts: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the parts in which either text has a term."""
+    """Share of equal hashes among the parts in which either text has a term; 1 if neither has a word."""
     pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), (x.eqNullSafe(y)).cast("int")))
     filled = F.array_compact(pairs)
     equal = F.aggregate(filled, F.lit(0), lambda total, x: total + x)
-    return F.when(F.size(filled) > 0, equal / F.size(filled)).otherwise(F.lit(0.0))
+    return F.when(F.size(filled) > 0, equal / F.size(filled)).otherwise(F.lit(1.0))
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +192,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     rows = text_rows(docs, id_col, text_col)
     order = materialize(in_order(rows), "imatch-next")
-    terms_in_band = materialize(lexicon(rows, order.count()), "imatch-lexicon")
+    terms_in_band = materialize(lexicon(rows), "imatch-lexicon")
     prints = fingerprints(edited_texts(rows, order), terms_in_band)
     prints = materialize(prints, "imatch-prints")
     following = prints.select(F.col("row").alias("next_row"), F.col("parts").alias("next_parts"))
