@@ -56,6 +56,24 @@ def test_group_whose_members_are_not_near_the_pivot(spark):
     assert got == root
 
 
+def test_near_stage_decides_by_row(spark):
+    a, near, b, c = prose(500, 80), prose(500, 80)[:-1] + ["other"], prose(501, 80), prose(502, 80)
+    a, near, b, c, d, e = (" ".join(x) for x in (a, near, b, c, prose(503, 80), prose(504, 80)))
+    rows = [
+        (1, a, "first"), (None, near, "x"), (None, b, "alone"), (7, a, "x"), (7, c, "alone"),
+        (8, d, "same"), (8, d, "same"), (None, e, "same"), (None, e, "same"), (None, e.upper(), "same"),
+        (9, "", "empty"), (9, "", "empty"), (None, None, "empty"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, row STRING")
+    out = stages.without_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], (r["text"] or "").lower(), r["row"]) for r in out.collect())
+    assert got == Counter([
+        (1, a, "first"), (None, b, "alone"), (7, c, "alone"), (8, d, "same"), (None, e, "same"),
+        (9, "", "empty"), (9, "", "empty"), (None, "", "empty"),
+    ])
+
+
 def test_min_and_max_agree_as_often_as_sets_do():
     a = wordhash.mix(np.arange(1000, dtype=np.uint64))
     b = wordhash.mix(np.arange(200, 1200, dtype=np.uint64))

@@ -12,7 +12,7 @@ shingle sets. No pairs of a bucket are listed, and nothing is collected to the d
 With the default bands a pair of similarity 0.8 shares no bucket with a chance of
 about 5 in a million, and a chain of links rarely hangs on one pair alone.
 
-Defined results: a null or empty text, or one without words, has an empty set and is
+Defined results of near_duplicates: a null or empty text, or one without words, has an empty set and is
 linked with nothing. Rows with equal ids share the fate of their texts; a null id
 counts as larger than any other, and a component of null ids alone has a null id. An
 empty table gives an empty result; further columns of the input are not read.
@@ -77,7 +77,7 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, *, bands: int, rows: int, size: int) -> DataFrame:
-    """(doc_id, n_shingles, class, buckets) of every row; an empty set has null buckets."""
+    """(doc_id, row, n_shingles, class, buckets) of every (doc_id, text, row); an empty set has null buckets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinMax(bands, rows)
@@ -91,14 +91,15 @@ def signatures(docs: DataFrame, *, bands: int, rows: int, size: int) -> DataFram
             yield pa.record_batch(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(found, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "class", "buckets"],
+                ["doc_id", "row", "n_shingles", "class", "buckets"],
             )
 
-    return docs.mapInArrow(sign, "doc_id LONG, n_shingles LONG, class BINARY, buckets ARRAY<LONG>")
+    return docs.mapInArrow(sign, "doc_id LONG, row LONG, n_shingles LONG, class BINARY, buckets ARRAY<LONG>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -240,6 +241,42 @@ def _outsider_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return dealt.groupBy("bucket", "outer", "inner").applyInArrow(meet, "a BINARY, b BINARY")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Names a row's id and text together."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of docs, all columns, with one row left of each component.
+
+    The row left is the first by (id, nulls last, class, row); rows equal in these by a hash of all
+    columns. Rows without a word are in no component and stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter("n_shingles > 0")
+    places = materialize(
+        found.groupBy("doc_id", "row", "class", "component").agg(F.count("*").alias("n")), "minmax-places"
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "class", "row", "n")).alias("first")
+    left = materialize(places.groupBy("component").agg(first).select("first.doc_id", "first.row", "first.n"), "minmax-left")
+
+    def same(one: DataFrame, other: DataFrame) -> Column:
+        return (one["row"] == other["row"]) & one["doc_id"].eqNullSafe(other["doc_id"])
+
+    gone = places.join(left, same(places, left), "left_anti").select("doc_id", "row")
+    again = materialize(left.filter("n > 1").select("doc_id", "row"), "minmax-again")
+    out = materialize(gone.unionByName(again), "minmax-gone")
+    # Packed, the columns of docs cannot clash with these two.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        row_key(id_col, text_col).alias("row"),
+    )
+    single = rows.join(out, same(rows, out), "left_anti").select("all")
+    repeated = rows.join(again, same(rows, again), "left_semi")
+    one = repeated.groupBy("doc_id", "row").agg(F.min_by("all", F.xxhash64("all")).alias("all")).select("all")
+    return single.unionByName(one).select("all.*")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -250,11 +287,13 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id, kept) of every row.
+    """(doc_id, row, n_shingles, class, component, component_id, kept) of every row.
 
-    `class` names the set of shingles; `kept` holds where doc_id is the component's smallest.
+    `row` is row_key of the row; `class` names the set of shingles, `component` the component (null if the
+    set is empty); `kept` holds where doc_id is the component's smallest.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = row_key(id_col, text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     signed = materialize(signatures(docs, bands=bands, rows=rows, size=size), "minmax-signatures")
     filled = signed.filter("n_shingles > 0")
     # All rows of a class have the same buckets.
@@ -294,9 +333,9 @@ def near_duplicates(
     named = classes.select("class", "doc_id").join(labels, "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = materialize(named.join(smallest, "component").select("class", "component_id"), "minmax-components")
-    joined = signed.select("doc_id", "n_shingles", "class").join(known, "class", "left")
+    known = materialize(named.join(smallest, "component").select("class", "component", "component_id"), "minmax-components")
+    joined = signed.select("doc_id", "row", "n_shingles", "class").join(known, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", "class", component.alias("component_id")).withColumn(
+    return joined.select("doc_id", "row", "n_shingles", "class", "component", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

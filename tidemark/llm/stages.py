@@ -41,11 +41,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id; shingles of five words."""
-    found = minmax.near_duplicates(docs, size=5)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    # Rows without an id go only with a component that has one.
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    """One row of each component, the first by id, nulls last; shingles of five words."""
+    return minmax.without_near_duplicates(docs, size=5)
 
 
 def without_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
