@@ -88,6 +88,17 @@ def test_data_profile(bronze):
     assert free["enum"] is None
 
 
+def test_thousands_of_enumerated_values(bronze):
+    old = bronze(*({"k": f"v{i:05d}"} for i in range(5000)))
+    new = bronze(*({"k": f"v{i:05d}"} for i in range(2, 5001)))
+    assert CT.data_profile(old, enum_fields=("k",)).first()["enum"] == [f"v{i:05d}" for i in range(5000)]
+    want = {("breaking", "enum_values_removed", "k", "v00000, v00001"), ("additive", "enum_values_added", "k", "v05000")}
+    by_rows = CT.compare_observed(CT.observed(old, enum_fields=("k",)), CT.observed(new, enum_fields=("k",)))
+    by_sets = CT.compare_profiles(CT.data_profile(old, enum_fields=("k",)), CT.data_profile(new, enum_fields=("k",)))
+    for found in (by_rows, by_sets):
+        assert {(r["severity"], r["code"], r["field"], r["detail"]) for r in found.collect()} == want
+
+
 def test_data_tests(spark):
     frame = spark.createDataFrame([("a", 1), ("a", None), ("x", 2), (None, None)], "k STRING, v INT")
     got = {(r["test"], r["column_name"]): r["failures"] for r in CT.not_null(frame, "m", ("k", "v"))

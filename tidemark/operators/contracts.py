@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import payload as P
@@ -79,14 +79,26 @@ def contract_profile(spark: SparkSession, contract: dict) -> DataFrame:
 
 
 def data_profile(
-    rows: DataFrame, raw: str = "raw", enum_fields: tuple[str, ...] = (), max_enum: int = 64
+    rows: DataFrame, raw: str = "raw", enum_fields: tuple[str, ...] = (), max_enum: int | None = None
 ) -> DataFrame:
     """Field profile observed in JSON records.
 
     A field's type is the widest kind seen (mixed kinds read as string); it is
     required when present and not null in every record. ``enum_fields`` get the
-    set of their values when at most ``max_enum`` differ; more make a free field.
+    set of their values, all of them unless the caller sets ``max_enum``, beyond
+    which a field is free.
     """
+    profile, values = observed(rows, raw, enum_fields)
+    if not enum_fields:
+        return profile.withColumn("enum", F.lit(None).cast("array<string>"))
+    sets = values.groupBy("field").agg(F.array_sort(F.collect_set("value")).alias("enum"))
+    if max_enum is not None:
+        sets = sets.filter(F.size("enum") <= max_enum)
+    return profile.join(sets, "field", "left")
+
+
+def observed(rows: DataFrame, raw: str = "raw", enum_fields: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(field, type, required) of JSON records as in data_profile, and the (field, value) rows of ``enum_fields``."""
     cells = materialize(_profile_cells(rows, raw, enum_fields), "profile")
     types = F.array_sort(F.collect_set("type"))
     by_field = cells.filter(F.col("field").isNotNull()).groupBy("field").agg(
@@ -102,9 +114,7 @@ def data_profile(
     profile = by_field.select(
         "field", widest.alias("type"), (F.col("present") == records.scalar()).alias("required")
     )
-    if not enum_fields:
-        return profile.withColumn("enum", F.lit(None).cast("array<string>"))
-    return profile.join(_enumerations(cells, max_enum), "field", "left")
+    return profile, cells.filter(F.col("value").isNotNull()).select("field", "value").distinct()
 
 
 def _profile_cells(rows: DataFrame, raw: str, enum_fields: tuple[str, ...]) -> DataFrame:
@@ -133,24 +143,34 @@ def _profile_cells(rows: DataFrame, raw: str, enum_fields: tuple[str, ...]) -> D
     return items.groupBy("field", type_.alias("type"), F.when(listed, text).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _enumerations(cells: DataFrame, max_enum: int) -> DataFrame:
-    """Sorted value set of each enumerated field with few enough values.
-
-    The rank limit applies on the map side too, so a field with very many values
-    sends at most ``max_enum`` + 1 of them per task.
-    """
-    rank = F.row_number().over(Window.partitionBy("field").orderBy("value"))
-    values = cells.filter(F.col("value").isNotNull()).select("field", "value").distinct()
-    few = values.withColumn("_rank", rank).filter(F.col("_rank") <= max_enum + 1)
-    sets = few.groupBy("field").agg(F.array_sort(F.collect_set("value")).alias("enum"))
-    return sets.filter(F.size("enum") <= max_enum)
+def _enum_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(field, had, has, gone, added) of (field, value) rows: only values of one side are gathered."""
+    sides = old.select("field", "value", F.lit(True).alias("was"), F.lit(False).alias("now")).unionByName(
+        new.select("field", "value", F.lit(False).alias("was"), F.lit(True).alias("now"))
+    )
+    values = sides.groupBy("field", "value").agg(F.bool_or("was").alias("was"), F.bool_or("now").alias("now"))
+    only = lambda here, there: F.collect_list(F.when(F.col(here) & ~F.col(there), F.col("value")))
+    return values.groupBy("field").agg(
+        F.bool_or("was").alias("had"),
+        F.bool_or("now").alias("has"),
+        only("was", "now").alias("gone"),
+        only("now", "was").alias("added"),
+    )
 
 
 def compare_profiles(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Breaking and additive changes between two field profiles."""
-    o, n = old.alias("o"), new.alias("n")
+    """Breaking and additive changes between two field profiles with their value sets in ``enum``."""
+    listed = lambda profile: profile.select("field", F.explode("enum").alias("value"))
+    return compare_observed((old, listed(old)), (new, listed(new)))
+
+
+def compare_observed(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Breaking and additive changes between two field profiles and their (field, value) rows."""
+    enums = _enum_changes(old[1], new[1])
+    o, n = old[0].alias("o"), new[0].alias("n")
     both = o.join(n, F.col("o.field") == F.col("n.field"), "full_outer")
     field = F.coalesce(F.col("o.field"), F.col("n.field"))
+    both = both.join(enums.alias("e"), field == F.col("e.field"), "left")
     in_old, in_new = F.col("o.field").isNotNull(), F.col("n.field").isNotNull()
     kept = in_old & in_new
     was, now = F.col("o.type"), F.col("n.type")
@@ -158,10 +178,8 @@ def compare_profiles(old: DataFrame, new: DataFrame) -> DataFrame:
     for source, targets in TYPE_WIDENS_TO.items():
         widened = widened | ((was == source) & now.isin(*targets))
     must_old, must_new = F.col("o.required"), F.col("n.required")
-    none = F.array().cast("array<string>")
-    enum_old, enum_new = F.coalesce("o.enum", none), F.coalesce("n.enum", none)
-    gone, added = F.array_except(enum_old, enum_new), F.array_except(enum_new, enum_old)
-    had, has = F.size(enum_old) > 0, F.size(enum_new) > 0
+    gone, added = F.col("e.gone"), F.col("e.added")
+    had, has = F.coalesce("e.had", F.lit(False)), F.coalesce("e.has", F.lit(False))
 
     def change(severity: str, code: str, detail: Column) -> Column:
         return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail"))

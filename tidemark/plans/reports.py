@@ -552,9 +552,9 @@ def schema_drift(spark, sf):
     """Drift from the accepted records to all records as posted."""
     good = C.accepted(feed.cleansed(spark, sf, ("raw",)).withColumn("text", F.col("raw")))
     enums = ("event_type", "country")
-    before = CT.data_profile(good, "text", enums)
-    after = CT.data_profile(feed.bronze(spark, sf), "raw", enums)
-    return CT.compare_profiles(before, after)
+    before = CT.observed(good, "text", enums)
+    after = CT.observed(feed.bronze(spark, sf), "raw", enums)
+    return CT.compare_observed(before, after)
 
 
 @report(
