@@ -22,9 +22,11 @@ from tidemark.llm import (
     packing,
     pieces,
     rules,
+    statedup,
     substrings,
     suffixes,
     toxicity,
+    whitening,
 )
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -110,6 +112,16 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_statedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = statedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    digest = F.lower(F.hex("digest")).alias("text_sha256")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_table(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_pieces": op10_pieces,
@@ -121,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op6_minmax": op6_minmax,
     "op7_rules": op7_rules,
+    "op11_statedup": op11_statedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +142,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minmax": oracles.NEAR_SQL,
     "op7_rules": oracles.RULES_SQL,
     "op9_substrings": oracles.SUBSTRINGS_SQL,
+    "op11_statedup": oracles.EXACT_SQL,
 }
