@@ -21,6 +21,7 @@ from tidemark.llm import (
     oracles,
     packing,
     pieces,
+    repair,
     rules,
     statedup,
     substrings,
@@ -118,6 +119,14 @@ def op11_statedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair_conversations(repair.damage(_table(spark, sf_dir, "conversations")))
+    whole = found.whole.withColumn("repaired_sha256", F.sha2(repair.lines("turns"), 256)).drop("turns")
+    hashed = repair.digests(found.pieces).select(F.col("conv").alias("c"), F.col("sha256").alias("repaired_sha256"))
+    split = found.split.join(hashed, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
+    return whole.unionByName(split).withColumnRenamed("conv", "conv_id")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_table(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -134,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minmax": op6_minmax,
     "op7_rules": op7_rules,
     "op11_statedup": op11_statedup,
+    "op12_repair": op12_repair,
     "op13_whitening": op13_whitening,
 }
 
