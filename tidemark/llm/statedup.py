@@ -12,7 +12,10 @@ the text itself, so a weak digest costs time and never a row.
 Hot groups: within a batch rows of a digest are combined before the exchange, so the
 state receives one row per map task. Digests holding over one row in HOT_SHARE (at most
 HOT_SHARE of them, whatever the input) reach the rows by broadcast, all others by an
-exchange. In the check of bytes a group is split over one salt per SPLIT_ROWS rows, and
+exchange. Before that a bitmap of the repeated digests, of bounded size, is broadcast: a
+row whose bit is not set has no copy and takes part in no exchange, and only the texts of
+the others are carried to the check. When a larger input fills the bitmap, more rows take
+that way, with the same result. In the check of bytes a group is split over one salt per SPLIT_ROWS rows, and
 only its keeper is repeated. Called again with the same `root`, the stream goes on where
 it stopped: only new files are read, and the ledger then covers all of them.
 
@@ -39,6 +42,8 @@ HOT_SHARE = 1024
 SPLIT_ROWS = 4096
 #: Batches in which a table is read.
 BATCHES = 4
+#: Bits for each repeated digest, and the most bits: 2 ** 28 of them are 32 MB at every task.
+BITS_EACH, MOST_BITS = 16, 1 << 28
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -46,6 +51,8 @@ STATE_CONF = {
     # Keeps all stores of an executor within one memory bound; the rest is on disk.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Otherwise every store, however small, sets aside some megabytes of disk.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -146,7 +153,12 @@ def deduplicate(
     ledger = fold_into_ledger(spark, path, root, id_col, text_col, digest, batches)
     repeated = materialize(ledger.filter("copies > 1"), "statedup-repeated")
 
-    rows = _located(spark.read.parquet(path), id_col, text_col, digest)
+    every = _located(spark.read.parquet(path), id_col, text_col, digest)
+    marked = _marked(every, repeated)
+    rows = marked.filter("maybe").drop("maybe")
+    alone = marked.filter("NOT maybe").select(
+        "digest", "place", F.lit(1).cast("long").alias("copies"), F.col("place").alias("keeper"), F.lit(None).cast("string").alias("text")
+    )
     total = spark.read.parquet(path).count()
     hot = F.col("copies") * HOT_SHARE > F.lit(total)
     few = repeated.filter(hot).select("digest", F.struct("copies", "keeper").alias("hot"))
@@ -162,7 +174,7 @@ def deduplicate(
     found = materialize(
         met.select(
             "digest", "place", "entry.copies", "entry.keeper", F.when(F.col("entry.copies") > 1, F.col("text")).alias("text")
-        ),
+        ).unionByName(alone),
         "statedup-found",
     )
     apart = materialize(_different(found), "statedup-different")
@@ -177,6 +189,26 @@ def deduplicate(
     return _decisions(stayed.unionByName(regrouped))
 
 
+def _marked(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows with `maybe`, false for those whose digest is surely not repeated."""
+    wanted = max(repeated.count(), 1) * BITS_EACH
+    bits = min(1 << (wanted - 1).bit_length(), MOST_BITS)
+
+    def place(digest: str) -> Column:
+        return F.pmod(F.xxhash64(digest), F.lit(bits)) + 1
+
+    at = place("digest")
+    bitmap = repeated.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")
+    )
+    position = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bitmap", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # Of a byte the lowest bit comes first.
+    bit = F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1))
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "bucket", "left")
+    return joined.withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("bucket", "bitmap")
+
+
 def _different(found: DataFrame) -> DataFrame:
     """(digest, place, text) of the hits whose bytes are not those of the kept row."""
     salts = F.ceil(F.col("copies") / SPLIT_ROWS)
