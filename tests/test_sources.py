@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,11 +154,27 @@ def test_delete_paths(spark, tmp_root):
     for name in ("a/b/1", "2"):
         open(f"{tmp_root}/{name}", "w").close()
     paths = spark.createDataFrame([(f"file:{tmp_root}/a",), (f"{tmp_root}/2",), (f"{tmp_root}/gone",)], "path STRING")
-    result = delete_paths(paths).collect()
-    assert len(result) == 3 and all(r["deleted"] for r in result)
+    record = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    assert tuple(delete_paths(paths, record).first()) == (3, 3, 0, None)
     assert os.listdir(tmp_root) == []
 
 
+def test_deletion_goes_on_with_its_recorded_list(spark, tmp_root):
+    from tidemark.sources import storage
+
+    for name in "abc":
+        os.makedirs(f"{tmp_root}/{name}")
+    record = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    paths = spark.createDataFrame([(f"{tmp_root}/{n}",) for n in "abc"], "path STRING")
+    # An attempt that listed all three and died behind the first.
+    paths.write.parquet(f"{record}/planned")
+    spark.createDataFrame([(f"{tmp_root}/a", True, None)], storage.RESULT).write.parquet(f"{record}/done")
+    storage.remove(spark, f"{tmp_root}/a")
+    os.makedirs(f"{tmp_root}/a")  # made anew since: no longer on the list
+    assert tuple(delete_paths(paths.limit(0), record).first()) == (3, 3, 0, None)
+    assert os.listdir(tmp_root) == ["a"]
+
+
 def test_catalog_tables(spark, tmp_root, bronze, event):
     from tidemark.operators import gold as G
 

@@ -12,15 +12,17 @@ from tidemark.operators.cleanse import failed_names
 from tidemark.schemas import EVENT_TYPES
 
 
+def metric_columns() -> list[Column]:
+    return [F.count(F.lit(1)).alias("events"), F.round(F.sum("amount_usd"), 2).alias("amount_usd")]
+
+
 def daily_metrics(silver: DataFrame, ordered: bool = True) -> DataFrame:
     """Events and revenue per (day, type).
 
     Partial and final hash aggregation on a small key, so one dominant type or
     day costs no more than another.
     """
-    grouped = silver.groupBy("dt", "event_type").agg(
-        F.count(F.lit(1)).alias("events"), F.round(F.sum("amount_usd"), 2).alias("amount_usd")
-    )
+    grouped = silver.groupBy("dt", "event_type").agg(*metric_columns())
     return grouped.orderBy("dt", "event_type") if ordered else grouped
 
 

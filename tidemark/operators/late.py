@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.days import in_window, utc_day, window_bounds
 from tidemark.functions.keys import day_of_key
-from tidemark.operators.gold import daily_metrics
+from tidemark.operators.gold import metric_columns
 from tidemark.schemas import DEFAULT_LOOKBACK_DAYS
 
 
@@ -44,18 +44,32 @@ def late_counts(silver: DataFrame, ordered: bool = True) -> DataFrame:
     return grouped.orderBy("dt", "event_type") if ordered else grouped
 
 
+def partitions_meeting_window(silver: DataFrame, start: date, end: date) -> DataFrame:
+    """Rows of the dt partitions that may hold an instant of the window; prunes before any file is read.
+
+    A partition's day is the date in the event's own offset, which lies at most 14 hours
+    from UTC, so the instants of a day are spread over it and one day either side.
+    """
+    return partitions_in_window(silver, start - timedelta(days=1), end + timedelta(days=1))
+
+
 def rebuild_window(
     silver: DataFrame,
     as_of: datetime | date | str,
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
 ) -> DataFrame:
-    """Daily metrics of every partition in [as_of - lookback, as_of].
+    """Daily metrics of every partition with an event in [as_of - lookback, as_of].
 
-    Computed from the full partitions, not from the late rows alone, so writing
-    the result over those partitions is always right and repeatable.
+    Computed from the full partitions, not from their rows inside the window or the late
+    rows alone, so writing the result over those partitions is always right and
+    repeatable. One aggregation finds the partitions and sums them.
     """
     start, end = window_bounds(as_of, lookback_days)
-    return daily_metrics(events_in_window(partitions_in_window(silver, start, end), start, end))
+    inside = utc_day(F.col("event_ts")).between(F.lit(start), F.lit(end))
+    sums = partitions_meeting_window(silver, start, end).groupBy("dt", "event_type").agg(
+        *metric_columns(), F.count_if(inside).alias("_inside")
+    )
+    return sums.filter("_inside > 0").drop("_inside").orderBy("dt", "event_type")
 
 
 def window_report(

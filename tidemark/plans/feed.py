@@ -8,6 +8,7 @@ fault, so every rejection reason occurs at a known rate.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import cleanse as C
 
@@ -25,13 +26,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def with_bronze(events_df: DataFrame) -> DataFrame:
-    """Add raw, source_key, landed_at and dt to the rows of an events table."""
+def with_bronze(events_df: DataFrame, *keep: str, offset: str = "0") -> DataFrame:
+    """raw, source_key and landed_at of the rows of an events table.
+
+    ``offset`` is an SQL expression of the whole hours by which an event's local time is
+    ahead of UTC.
+    """
     padded = "lpad(CAST(event_id AS STRING), greatest(length(CAST(event_id AS STRING)), 8), '0')"
+    stamp = """date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")"""
+    if offset != "0":
+        local = f"""date_format(ts + make_dt_interval(0, {offset}), "yyyy-MM-dd'T'HH:mm:ss")"""
+        stamp = f"concat({local}, CASE WHEN {offset} < 0 THEN '-' ELSE '+' END, lpad(abs({offset}), 2, '0'), ':00')"
     text = f"""concat(
         '{{"event_id":"', CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('evt-', {padded}) END,
         '","event_ts":"', CASE WHEN event_id % 107 = 0 THEN 'not-a-timestamp'
-                               ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'") END,
+                               ELSE {stamp} END,
         '","event_type":"', CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'add_to_cart'
                                             WHEN 'signup' THEN 'refund' ELSE event_type END,
         '","user_id":"', CASE WHEN event_id % 109 = 0 THEN '' ELSE concat('user-',
@@ -46,7 +55,32 @@ def with_bronze(events_df: DataFrame) -> DataFrame:
         f"CASE WHEN event_id % 113 = 0 THEN '{{}}' ELSE {text} END AS raw",
         f"concat('events/dt=', date_format(ts, 'yyyy-MM-dd'), '/evt-', {padded}, '.json') AS source_key",
         "CAST(ts AS TIMESTAMP) AS landed_at",
+        *keep,
+    )
+
+
+SLICES = 5
+
+
+def with_slices(events_df: DataFrame, repeats: bool = False) -> DataFrame:
+    """Bronze rows dealt into the column `slice`, as they arrive over time.
+
+    With ``repeats`` every tenth event comes again two slices on (after the last slice the
+    first follows, so some come before what they replace), as another object landed an
+    hour later, with one more dollar.
+    """
+    number = F.col("event_id") % SLICES
+    first = with_bronze(events_df.withColumn("slice", number), "slice")
+    if not repeats:
+        return first
+    again = events_df.filter("event_id % 10 = 0").withColumns({"slice": (number + 2) % SLICES, "value": F.col("value") + 1})
+    amended = with_bronze(again, "slice").withColumns(
+        {
+            "source_key": F.concat("source_key", F.lit(".2")),
+            "landed_at": F.col("landed_at") + F.expr("INTERVAL 1 HOUR"),
+        }
     )
+    return first.unionByName(amended)
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:

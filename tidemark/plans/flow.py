@@ -156,16 +156,7 @@ def run_batch(
 
 def write_gold_zone(silver: DataFrame, root: str, run_id: str) -> int:
     """Aggregate, split by contract, write metrics and rejects; rows accepted."""
-    checked = materialize(G.with_metric_faults(G.daily_metrics(silver, ordered=False)), "gold")
-    good, bad = G.accepted_metrics(checked), G.rejected_metrics(checked)
-    sinks.write_gold(good, f"{root}/gold/metrics")
-    rejects = bad.select(
-        "reason", F.col("event_type").alias("metric"), "dt",
-        F.to_json(F.struct("dt", "event_type", "events", "amount_usd")).alias("payload"), F.lit("gold").alias("zone"),
-    )
-    if not bad.isEmpty():
-        sinks.write_gold_quarantine(rejects, f"{root}/gold/quarantine", run_id)
-    return good.count()
+    return sinks.publish_metrics(G.daily_metrics(silver, ordered=False), root, run_id)[0]
 
 
 def reprocess(
@@ -175,10 +166,9 @@ def reprocess(
     started = datetime.now(tz=timezone.utc)
     silver = sinks.read_silver(spark, f"{root}/silver/events")
     report = L.window_report(silver, as_of, lookback_days).first().asDict()
-    rebuilt = materialize(L.rebuild_window(silver, as_of, lookback_days), "rebuild")
-    sinks.write_gold(rebuilt, f"{root}/gold/metrics")
-    report["gold_written"] = rebuilt.count()
     run_id = f"gold-reprocess-{report['window_start']}-{report['window_end']}"
+    rebuilt = L.rebuild_window(silver, as_of, lookback_days)
+    report["gold_written"], report["rejected"] = sinks.publish_metrics(rebuilt, root, run_id)
     record = run_record(
         spark, run_id, "succeeded", started, "gold", "reprocess", datetime.now(tz=timezone.utc), metrics=_as_json(report)
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import runs as R
 from tidemark.plans import feed, flow, upkeep
 from tidemark.plans.reports import QUALITY_TALLY_SQL, _framed_sql, report
-from tidemark.schemas import GOLD_CONTRACT, SILVER_SCHEMA
+from tidemark.schemas import BRONZE_SCHEMA, GOLD_CONTRACT, SILVER_SCHEMA
 from tidemark.session import materialize, scratch_path
 from tidemark.sources import catalog, deadletter, generator, objects, sinks
 from tidemark.sources.notifications import extract_refs
@@ -815,30 +818,98 @@ def stream_bronze(spark, sf):
     return spark.read.parquet(f"{root}/bronze").groupBy("dt").agg(F.count(F.lit(1)).alias("events"))
 
 
-def _event_stream(spark, sf) -> DataFrame:
-    source = spark.readStream.schema(feed.EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-    return feed.with_bronze(source.option("maxFilesPerTrigger", jobs.FILES_PER_BATCH).parquet(sf))
+def _queue(spark, sf, root: str, repeats: bool) -> None:
+    """Bronze rows of the feed in a folder that streams read, by slice."""
+    sliced = feed.with_slices(feed.events(spark, sf), repeats)
+    sliced.write.partitionBy("slice").parquet(f"{root}/queue")
+
 
+def _arriving(spark, root: str) -> DataFrame:
+    """The queue as a stream, about one slice a batch."""
+    files = len(spark.read.parquet(f"{root}/queue").inputFiles())
+    source = spark.readStream.schema(f"{BRONZE_SCHEMA}, slice BIGINT").option("maxFilesPerTrigger", -(-files // feed.SLICES))
+    return source.parquet(f"{root}/queue").drop("slice")
 
-def _streamed(spark, sf, gold: bool) -> str:
+
+def _streamed(spark, sf, repeats: bool) -> str:
     root = scratch_path(spark, "stream")
-    query = jobs.medallion(_event_stream(spark, sf), root, f"{root}/checkpoint", feed.WATERMARK, gold=gold)
-    query.awaitTermination()
+    _queue(spark, sf, root, repeats)
+    jobs.silver_stream(_arriving(spark, root), root, f"{root}/checkpoint/silver", feed.WATERMARK).awaitTermination()
     return root
 
 
+AMENDED_SQL = """amended AS (
+  SELECT n, event_type, dt, _late, CASE WHEN n % 10 = 0 THEN amount_usd + 1 ELSE amount_usd END AS amount_usd FROM silver)"""
+
+
 @report(
     "stream_silver",
-    """SELECT event_type, dt, count(*) AS events, count(*) FILTER (WHERE _late) AS late_events FROM silver GROUP BY event_type, dt""",
+    """SELECT event_type, dt, count(*) AS events, count(*) FILTER (WHERE _late) AS late_events,
+              round(sum(amount_usd), 2) AS amount_usd FROM amended GROUP BY event_type, dt""",
+    AMENDED_SQL,
 )
 def stream_silver(spark, sf):
-    silver = jobs.current_silver(spark, _streamed(spark, sf, gold=False))
+    """Silver of five batches with late, repeated and overwritten events: the last write of each."""
+    silver = jobs.latest_silver(spark, _streamed(spark, sf, repeats=True))
     return silver.groupBy("event_type", "dt").agg(
-        F.count(F.lit(1)).alias("events"), F.count_if("_late").alias("late_events")
+        F.count(F.lit(1)).alias("events"),
+        F.count_if("_late").alias("late_events"),
+        F.round(F.sum("amount_usd"), 2).alias("amount_usd"),
     )
 
 
-@report("stream_gold", "SELECT event_type AS metric, dt, events, amount_usd FROM gold")
+@report(
+    "stream_gold",
+    "SELECT event_type AS metric, dt, count(*) AS events, round(sum(amount_usd), 2) AS amount_usd FROM amended GROUP BY 1, 2",
+    AMENDED_SQL,
+)
 def stream_gold(spark, sf):
-    root = _streamed(spark, sf, gold=True)
+    """Gold kept by partial sums over four or more batches of Silver files, some rows retracted."""
+    root = _streamed(spark, sf, repeats=True)
+    files = objects.inventory(spark, f"{root}/silver/events", "*.parquet").count()
+    jobs.gold_stream(spark, root, f"{root}/checkpoint/gold", files_per_batch=max(1, -(-files // 4))).awaitTermination()
     return sinks.read_gold(spark, f"{root}/gold/metrics").drop("metric_day")
+
+
+@report(
+    "stream_replay",
+    """SELECT 'silver' AS part, count(*) AS records FROM silver
+       UNION ALL SELECT 'quarantine', count(*) FROM cleansed WHERE reason IS NOT NULL
+       UNION ALL SELECT 'gold', count(*) FROM silver
+       UNION ALL SELECT 'batches succeeded', count(DISTINCT n % 5) FROM bronze
+       UNION ALL SELECT 'batches attempted twice', 1
+       UNION ALL SELECT 'gold fresh', count(*) FROM silver""",
+)
+def stream_replay(spark, sf):
+    """Batches delivered twice, one of them after an attempt that died half-way: every table as if once."""
+    root = scratch_path(spark, "stream")
+    _queue(spark, sf, root, repeats=False)
+
+    def die(number: int, step: str) -> None:
+        if (number, step) == (1, "silver"):
+            raise RuntimeError("the attempt ends here")
+
+    first = f"{root}/checkpoint/silver"
+    failed = jobs.silver_stream(_arriving(spark, root), root, first, feed.WATERMARK, interrupt=die)
+    try:
+        failed.awaitTermination()
+    except StreamingQueryException:
+        pass
+    for checkpoint in (first, f"{root}/checkpoint/again"):
+        jobs.silver_stream(_arriving(spark, root), root, checkpoint, feed.WATERMARK).awaitTermination()
+    jobs.gold_stream(spark, root, f"{root}/checkpoint/gold").awaitTermination()
+    runs = sinks.read_runs(spark, f"{root}/runs")
+    batches = runs.filter("step = 'silver'").groupBy("run_id").agg(
+        F.count_if(F.col("status") == "running").alias("begun"), F.count_if(F.col("status") == "succeeded").alias("done")
+    )
+    fresh = F.sum(F.get_json_object("metrics", "$.fresh").cast("bigint"))
+    parts = {
+        "silver": jobs.current_silver(spark, root).agg(F.count(F.lit(1)).alias("records")),
+        "quarantine": spark.read.parquet(f"{root}/silver/quarantine").agg(F.count(F.lit(1)).alias("records")),
+        "gold": sinks.read_gold(spark, f"{root}/gold/metrics").agg(F.sum("events").alias("records")),
+        "batches succeeded": batches.agg(F.count_if(F.col("done") == 1).alias("records")),
+        "batches attempted twice": batches.agg(F.count_if(F.col("begun") == 2).alias("records")),
+        "gold fresh": runs.filter("step = 'gold'").agg(fresh.alias("records")),
+    }
+    shown = [frame.select(F.lit(name).alias("part"), "records") for name, frame in parts.items()]
+    return reduce(DataFrame.unionByName, shown)

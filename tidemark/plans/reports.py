@@ -18,8 +18,9 @@ from tidemark.operators import partitions as PT
 from tidemark.operators import quality as Q
 from tidemark.plans import feed, flow, kpis, views
 from tidemark.plans.oracle import with_ctes
-from tidemark.schemas import BRONZE_CONTRACT, EVENT_TYPES
-from tidemark.session import configure, materialize
+from tidemark.schemas import BRONZE_CONTRACT, EVENT_TYPES, SILVER_SCHEMA
+from tidemark.session import configure, materialize, scratch_path
+from tidemark.sources import sinks
 
 Report = Callable[[SparkSession, str], DataFrame]
 REPORTS: dict[str, Report] = {}
@@ -299,6 +300,27 @@ def reprocess_window(spark, sf):
     return L.rebuild_window(feed.silver(spark, sf), feed.AS_OF, feed.LOOKBACK_DAYS)
 
 
+OFFSETS_SQL = """placed AS (
+  SELECT event_type, amount_usd, strftime(event_ts + to_hours(n % 27 - 12), '%Y-%m-%d') AS dt,
+         CAST(event_ts AS DATE) BETWEEN DATE '2024-01-12' AND DATE '2024-01-14' AS inside
+  FROM silver)"""
+
+
+@report(
+    "reprocess_offsets",
+    """SELECT dt, event_type, count(*) AS events, round(sum(amount_usd), 2) AS amount_usd
+       FROM placed GROUP BY dt, event_type HAVING count(*) FILTER (WHERE inside) > 0""",
+    OFFSETS_SQL,
+)
+def reprocess_offsets(spark, sf):
+    """Stored Silver with offsets of -12 to +14 hours: whole partitions rebuilt from a pruned scan."""
+    bronze = feed.with_bronze(feed.events(spark, sf), offset="CAST(event_id % 27 - 12 AS INT)")
+    path = scratch_path(spark, "silver")
+    silver = C.accepted(C.cleanse(bronze, feed.WATERMARK, feed.LOOKBACK_DAYS, keep=("landed_at",)))
+    sinks.write_partitions(silver.select(*SILVER_SCHEMA.names), path, ("event_type", "dt"))
+    return L.rebuild_window(sinks.read_silver(spark, path), "2024-01-14", feed.LOOKBACK_DAYS)
+
+
 @report(
     "reprocess_report",
     """SELECT CAST(20 AS BIGINT) AS lookback_days, '2024-01-10' AS window_start, '2024-01-30' AS window_end,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,10 @@ from tidemark.functions import keys as K
 from tidemark.operators import maintenance as M
 from tidemark.operators.partitions import objects_per_partition
 from tidemark.schemas import MAINTENANCE_POLICY
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_path
 from tidemark.sources.objects import inventory
 from tidemark.sources.sinks import only_partitions, write_partitions
-from tidemark.sources.storage import delete_paths
+from tidemark.sources.storage import delete_paths, exists, remove, swap_folders
 
 
 def partition_plan(
@@ -33,48 +34,100 @@ def partition_plan(
     return M.zone_plan(present, as_of, days, objects if max_objects is None else max_objects, dataset)
 
 
-def expire(spark: SparkSession, location: str, plan: DataFrame, table: str | None = None) -> DataFrame:
-    """Delete the folders of partitions planned to expire; one row per folder."""
+def expire(
+    spark: SparkSession, location: str, plan: DataFrame, table: str | None = None, record: str | None = None
+) -> DataFrame:
+    """Delete the folders of partitions planned to expire; one row of counters.
+
+    With a ``record`` folder of an earlier call that died, the rest of its list is deleted.
+    """
     columns = [c for c in plan.columns if c in ("event_type", "metric", "reason", "dt")]
     gone = plan.filter(F.col("action") == "expire").select(*columns)
-    objects = inventory(spark, location)
-    folders = objects.select(
-        F.regexp_replace("path", "/[^/]*$", "").alias("path"), *[K.hive_value(F.col("path"), c).alias(c) for c in columns]
-    ).distinct()
-    result = materialize(delete_paths(folders.join(gone, columns, "left_semi")), "expired")
+    folders = _folders(spark, location, columns).join(gone, columns, "left_semi")
+    result = materialize(delete_paths(folders, record or scratch_path(spark, "expire")), "expired")
     spark.catalog.refreshByPath(location)
     if table:
         spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
     return result
 
 
+def _folders(spark: SparkSession, location: str, columns: list[str]) -> DataFrame:
+    """Partition folders that hold objects, with their partition values."""
+    objects = inventory(spark, location)
+    return objects.select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("path"), *[K.hive_value(F.col("path"), c).alias(c) for c in columns]
+    ).distinct()
+
+
 def expire_objects(
-    spark: SparkSession, location: str, dataset: str, as_of: datetime | str, retention_days: int | None = None
+    spark: SparkSession,
+    location: str,
+    dataset: str,
+    as_of: datetime | str,
+    retention_days: int | None = None,
+    record: str | None = None,
 ) -> DataFrame:
-    """Delete single objects last written before the cutoff; one row per object."""
+    """Delete single objects last written before the cutoff; one row of counters."""
     days = MAINTENANCE_POLICY[dataset][2] if retention_days is None else retention_days
     objects = inventory(spark, location).withColumnRenamed("modificationTime", "written_at")
     plan = M.expire_objects(objects, as_of, days, dataset)
-    result = materialize(delete_paths(plan.filter(F.col("action") == "expire")), "expired")
+    gone = plan.filter(F.col("action") == "expire")
+    result = materialize(delete_paths(gone, record or scratch_path(spark, "expire")), "expired")
     spark.catalog.refreshByPath(location)
     return result
 
 
-def compact(spark: SparkSession, location: str, plan: DataFrame) -> DataFrame:
-    """Rewrite planned partitions into few objects, row for row.
+def compact(
+    spark: SparkSession,
+    location: str,
+    plan: DataFrame,
+    interrupt: Callable[[str], None] | None = None,
+) -> DataFrame:
+    """Rewrite planned partitions into few objects, row for row; returns those partitions.
 
-    Spark writes the new objects aside and swaps each partition folder at commit,
-    so a failed job leaves the old ones. Only planned partitions are read.
+    The rows are staged under `_compact` in the table, a name that readers pass over.
+    When every staged partition has as many rows as the stored one, the folders are
+    swapped by the recorded steps of `swap_folders`. What an earlier call left half done
+    is completed first. ``interrupt(step)`` is called behind staging.
     """
+    location = location.rstrip("/")
     columns = [c for c in plan.columns if c in ("event_type", "metric", "reason", "dt")]
+    finish_compaction(spark, location)
     chosen = materialize(plan.filter(F.col("action") == "compact").select(*columns), "compact-plan")
-    if not chosen.isEmpty():
-        rows = only_partitions(spark.read.parquet(location), chosen, tuple(columns))
-        write_partitions(rows, location, tuple(columns))
-        spark.catalog.refreshByPath(location)
+    if chosen.isEmpty():
+        return chosen
+    work = f"{location}/_compact"
+    stored = spark.read.parquet(location)
+    rows = only_partitions(stored, chosen, tuple(columns))
+    write_partitions(rows, f"{work}/staged", tuple(columns))
+    kept, made = (frame.groupBy(*columns).count() for frame in (rows, spark.read.schema(stored.schema).parquet(f"{work}/staged")))
+    lost = kept.exceptAll(made).limit(1).count() + made.exceptAll(kept).limit(1).count()
+    if lost:
+        remove(spark, work)
+        raise RuntimeError(f"compaction of {location} would lose or repeat rows; nothing was changed")
+    pairs = _folders(spark, f"{work}/staged", columns).select(
+        F.col("path").alias("staged"),
+        F.replace("path", F.lit("/_compact/staged/"), F.lit("/")).alias("live"),
+        F.replace("path", F.lit("/_compact/staged/"), F.lit("/_compact/aside/")).alias("aside"),
+    )
+    pairs.write.mode("overwrite").parquet(f"{work}/record/swaps")
+    if interrupt:
+        interrupt("staged")
+    finish_compaction(spark, location)
     return chosen
 
 
+def finish_compaction(spark: SparkSession, location: str) -> int:
+    """Complete the recorded swaps of a compaction, or drop one that was not recorded yet; folders swapped."""
+    work = f"{location.rstrip('/')}/_compact"
+    swapped = 0
+    if exists(spark, f"{work}/record/swaps/_SUCCESS"):
+        swapped = swap_folders(spark, f"{work}/record")
+    remove(spark, work)
+    spark.catalog.refreshByPath(location)
+    return swapped
+
+
 def maintain(
     spark: SparkSession,
     location: str,
@@ -94,7 +147,7 @@ def maintain(
         expired = M.expire_objects(objects, as_of, days, dataset).filter(F.col("action") == "expire").count()
     if apply:
         done = expire_objects(spark, location, dataset, as_of, retention_days) if by_age else expire(spark, location, plan)
-        deleted = done.filter("deleted").count()
+        deleted = done.first()["deleted"]
         if by_age:
             plan = materialize(partition_plan(spark, location, dataset, as_of, retention_days, max_objects), "plan")
         compact(spark, location, plan)

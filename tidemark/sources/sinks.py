@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
-from tidemark.operators.gold import serving_rows
+from tidemark.operators.gold import accepted_metrics, rejected_metrics, serving_rows, with_metric_faults
 from tidemark.operators.identity import SILVER_IDENTITY, last_write
 from tidemark.schemas import GOLD_SCHEMA, RUN_SCHEMA, SILVER_SCHEMA
 from tidemark.session import materialize
+from tidemark.sources.storage import exists, remove
 
 
 def write_partitions(df: DataFrame, path: str, columns: tuple[str, ...], rebalance: bool = True) -> None:
@@ -82,8 +83,17 @@ def upsert_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("lan
 
 def is_stored(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return exists(spark, path)
+
+
+def replace_run(rows: DataFrame, path: str, run_id: str, columns: tuple[str, ...], format: str = "parquet") -> None:
+    """Rows of one run by further columns. A repeated run replaces all it wrote before, with nothing too."""
+    folder = f"{path}/run_id={run_id}"
+    if rows.isEmpty():
+        remove(rows.sparkSession, folder)
+        return
+    writer = rows.hint("rebalance", *columns).write if format == "parquet" else rows.coalesce(1).write
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*columns).format(format).save(folder)
 
 
 def quarantine_rows(quarantined: DataFrame) -> DataFrame:
@@ -99,9 +109,8 @@ def quarantine_rows(quarantined: DataFrame) -> DataFrame:
 
 
 def write_silver_quarantine(quarantined: DataFrame, path: str, run_id: str) -> None:
-    """Rejected rows by run and reason; a repeated run replaces its own."""
-    rows = quarantine_rows(quarantined).withColumn("run_id", F.lit(run_id))
-    write_partitions(rows, path, ("run_id", "reason"))
+    """Rejected rows by run and reason."""
+    replace_run(quarantine_rows(quarantined), path, run_id, ("reason",))
 
 
 def write_gold(gold: DataFrame, path: str) -> None:
@@ -123,20 +132,38 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SILVER_SCHEMA).parquet(path)
 
 
+GOLD_REJECTS = "payload STRING, zone STRING, run_id STRING, reason STRING, metric STRING, dt STRING"
+
+
 def write_gold_quarantine(rows: DataFrame, path: str, run_id: str) -> None:
-    """Rejected metric rows by run; a repeated run replaces its own."""
-    write_partitions(rows.withColumn("run_id", F.lit(run_id)), path, ("run_id", "reason", "metric", "dt"))
+    """Rejected metric rows by run, reason, metric and day."""
+    replace_run(rows, path, run_id, ("reason", "metric", "dt"))
 
 
-def write_report(report: DataFrame, path: str, day: str) -> None:
-    """One JSON report per run, by day; a repeated run replaces its own."""
-    rows = report.withColumn("dt", F.lit(day)).coalesce(1)
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt", "run_id")
-        .json(path)
+def read_gold_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(GOLD_REJECTS).parquet(path)
+
+
+def publish_metrics(metrics: DataFrame, root: str, run_id: str) -> tuple[int, int]:
+    """Split daily metrics by the Gold contract, write both sides; rows accepted and rejected."""
+    checked = materialize(with_metric_faults(metrics), "gold")
+    good, bad = accepted_metrics(checked), rejected_metrics(checked)
+    write_gold(good, f"{root}/gold/metrics")
+    rejects = bad.select(
+        F.to_json(F.struct("dt", "event_type", "events", "amount_usd")).alias("payload"),
+        F.lit("gold").alias("zone"),
+        "reason",
+        K.or_unknown(F.col("event_type")).alias("metric"),
+        K.or_unknown(F.col("dt")).alias("dt"),
     )
+    write_gold_quarantine(rejects, f"{root}/gold/quarantine", run_id)
+    return good.count(), bad.count()
+
+
+def write_report(report: DataFrame, path: str, day: str) -> None:
+    """The one-row report of a run as JSON, with its day; a run repeated on another day replaces its own."""
+    rows = report.drop("run_id").withColumn("dt", F.lit(day))
+    replace_run(rows, path, report.first()["run_id"], ("dt",), "json")
 
 
 def recent_reports(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:

@@ -6,6 +6,9 @@ its source, so a repeated batch leaves the same tables behind.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +18,15 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions import keys as K
 from tidemark.operators import cleanse as C
 from tidemark.operators.gold import daily_metrics
-from tidemark.operators.identity import SILVER_IDENTITY, last_write
+from tidemark.operators.identity import SILVER_IDENTITY, last_write, manifest_identity
 from tidemark.operators.runs import run_record
 from tidemark.schemas import DEFAULT_LOOKBACK_DAYS, SILVER_SCHEMA
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_path, settings
 from tidemark.sources import deadletter, sinks
 from tidemark.sources.notifications import extract_refs, undecodable
 from tidemark.sources.objects import inventory
-from tidemark.sources.storage import delete_paths
+from tidemark.sources.storage import delete_paths, make_folder
+from tidemark.streaming.current import CHANGES, STATE_CONF, changes, metrics_of
 from tidemark.streaming.records import RECORD_SCHEMA, decode
 
 FILES_PER_BATCH = 10
@@ -87,6 +91,27 @@ def drain_messages(
     return _start(messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
 
+@dataclass
+class Streams:
+    """Queries of a pipeline. With ``availableNow`` each starts when the one before it is done."""
+
+    starts: list[Callable[[], StreamingQuery]]
+    at_once: bool
+    running: list[StreamingQuery] = field(default_factory=list)
+
+    def start(self) -> Streams:
+        for start in self.starts if self.at_once else self.starts[:1]:
+            self.running.append(start())
+        return self
+
+    def awaitTermination(self) -> None:
+        self.running[0].awaitTermination()
+        for at, start in enumerate(self.starts[1:], 1):
+            if at == len(self.running):
+                self.running.append(start())
+            self.running[at].awaitTermination()
+
+
 def medallion(
     bronze: DataFrame,
     root: str,
@@ -95,53 +120,155 @@ def medallion(
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     gold: bool = True,
     trigger: dict | None = None,
+) -> Streams:
+    """Cleanse each arriving batch into Silver and quarantine, and keep Gold from what Silver stores."""
+    spark = bronze.sparkSession
+    starts = [lambda: silver_stream(bronze, root, f"{checkpoint}/silver", watermark, lookback_days, trigger)]
+    if gold:
+        starts.append(lambda: gold_stream(spark, root, f"{checkpoint}/gold", trigger=trigger))
+    return Streams(starts, at_once=bool(trigger) and "availableNow" not in trigger).start()
+
+
+def silver_stream(
+    bronze: DataFrame,
+    root: str,
+    checkpoint: str,
+    watermark: datetime | str | None = None,
+    lookback_days: int = DEFAULT_LOOKBACK_DAYS,
+    trigger: dict | None = None,
+    interrupt: Callable[[int, str], None] | None = None,
 ) -> StreamingQuery:
-    """Cleanse each arriving batch into Silver and quarantine, then refresh Gold.
+    """Silver and quarantine of each arriving batch, done once whatever is delivered again.
 
-    A batch owns the partition `batch` of both tables and replaces it, so running
-    it again changes nothing. Gold days that the batch touched are recomputed
-    from all of Silver, late rows included. The run log gets one version per
-    attempt; readers take the latest.
+    The run log is the ledger of batches. A batch is known by the keys it holds: one that
+    succeeded is left alone, under a new checkpoint too. One that was begun keeps its
+    number, and so replaces in both tables what its first attempt wrote; any other gets
+    the next number. ``interrupt(number, step)`` is called behind each step.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started = datetime.now(tz=timezone.utc)
         spark = batch.sparkSession
-        rows = C.cleanse(batch, watermark, lookback_days, gate=True)
-        rows = rows.withColumn("batch", F.lit(batch_id).cast("bigint")).persist()
+        rows = C.cleanse(batch, watermark, lookback_days, gate=True).persist()
         try:
-            good = last_write(C.accepted(rows).select(*SILVER_SCHEMA.names, "batch"), SILVER_IDENTITY, ("landed_at",))
+            identity = manifest_identity(rows, (), "source_key", "silver").first()
+            if not identity["parts"]:
+                return
+            run_id = identity["run_id"]
+            status, number = _entry(spark, f"{root}/runs", run_id)
+            if status == "succeeded":
+                return
+
+            def log(status: str, finished: datetime | None = None, **counts: int) -> None:
+                metrics = json.dumps({"batch": number, **counts})
+                record = run_record(
+                    spark, run_id, status, started, "silver", "silver", finished, object_count=identity["parts"], metrics=metrics
+                )
+                sinks.append_runs(record, f"{root}/runs")
+
+            log("running")
+            numbered = rows.withColumn("batch", F.lit(number).cast("bigint"))
+            good = last_write(C.accepted(numbered).select(*SILVER_SCHEMA.names, "batch"), SILVER_IDENTITY, ("landed_at",))
             sinks.write_partitions(good, f"{root}/silver/events", ("event_type", "dt", "batch"))
-            bad = sinks.quarantine_rows(C.quarantined(rows)).withColumn("batch", F.lit(batch_id).cast("bigint"))
+            if interrupt:
+                interrupt(number, "silver")
+            bad = sinks.quarantine_rows(C.quarantined(rows)).withColumn("batch", F.lit(number).cast("bigint"))
             sinks.write_partitions(bad, f"{root}/silver/quarantine", ("reason", "batch"))
-            if gold:
-                refresh_gold(spark, root, C.accepted(rows).select("event_type", "dt").distinct())
+            if interrupt:
+                interrupt(number, "quarantine")
             counts = rows.agg(
                 F.count_if(F.col("reason").isNull()).alias("valid"),
                 F.count_if(F.col("reason").isNotNull()).alias("quarantined"),
                 F.count_if("_late").alias("late"),
-            )
-            metrics = counts.select(F.to_json(F.struct("*"))).first()[0]
-            run_id = f"silver-stream-{batch_id}"
-            record = run_record(spark, run_id, "succeeded", started, "silver", "silver", datetime.now(tz=timezone.utc), metrics=metrics)
-            sinks.append_runs(record, f"{root}/runs")
+            ).first()
+            log("succeeded", datetime.now(tz=timezone.utc), **counts.asDict())
         finally:
             rows.unpersist()
 
     return _start(bronze.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
 
+def _entry(spark: SparkSession, path: str, run_id: str) -> tuple[str | None, int]:
+    """Status of a batch in the run log, and its number: the one it has, or the next."""
+    if not sinks.is_stored(spark, path):
+        return None, 0
+    own = F.col("run_id") == run_id
+    number = F.get_json_object("metrics", "$.batch").try_cast("bigint")
+    row = (
+        sinks.read_runs(spark, path)
+        .filter(F.col("step") == "silver")
+        .agg(
+            F.max(F.when(own, number)).alias("own"),
+            F.bool_or(own & (F.col("status") == "succeeded")).alias("done"),
+            F.max(number).alias("last"),
+        )
+        .first()
+    )
+    status = None if row["own"] is None else "succeeded" if row["done"] else "running"
+    return status, row["own"] if row["own"] is not None else -1 if row["last"] is None else row["last"] + 1
+
+
+def gold_stream(
+    spark: SparkSession, root: str, checkpoint: str, files_per_batch: int | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Gold kept up to date from the Silver files as they are stored.
+
+    The state and the partial sums both lie under the checkpoint: if it is lost, Gold is
+    built again from all of Silver. A batch writes its partial sums by type, day and batch,
+    reads those of the types and days it changed, splits the metrics by the contract and
+    publishes both sides. Files that a repeated Silver batch has replaced meanwhile are
+    passed over; the rows that replace them come as other files.
+    """
+    silver, partials = f"{root}/silver/events", f"{checkpoint}/partials"
+    make_folder(spark, silver)
+    source = spark.readStream.schema(_silver_ddl()).option("ignoreMissingFiles", "true")
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        started = datetime.now(tz=timezone.utc)
+        session = changed.sparkSession
+        sums = [F.sum(c).alias(c) for c in ("events", "added", "retracted", "fresh", "overwritten", "unchanged")]
+        deltas = materialize(changed.groupBy("event_type", "dt").agg(*sums), "gold-deltas")
+        made = deltas.filter("fresh > 0 OR overwritten > 0").withColumn("batch", F.lit(batch_id).cast("bigint"))
+        if not made.isEmpty():
+            sinks.write_partitions(made, partials, ("event_type", "dt", "batch"), rebalance=False)
+            stored = session.read.schema(f"{CHANGES}, batch BIGINT").parquet(partials)
+            metrics = metrics_of(sinks.only_partitions(stored, made, ("event_type", "dt")))
+            accepted, rejected = sinks.publish_metrics(metrics, root, f"gold-stream-{batch_id}")
+        else:
+            accepted = rejected = 0
+        counts = deltas.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("fresh", "overwritten", "unchanged")]).first()
+        record = run_record(
+            session, f"gold-stream-{batch_id}", "succeeded", started, "gold", "gold", datetime.now(tz=timezone.utc),
+            metrics=json.dumps({**counts.asDict(), "gold_written": accepted, "rejected": rejected}),
+        )
+        sinks.append_runs(record, f"{root}/runs")
+
+    stream = changes(source.parquet(silver)).writeStream.outputMode("update").foreachBatch(write)
+    with settings(spark, STATE_CONF):
+        return _start(stream.option("checkpointLocation", f"{checkpoint}/stream"), trigger)
+
+
+def _silver_ddl() -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SILVER_SCHEMA) + ", batch BIGINT"
+
+
 def current_silver(spark: SparkSession, root: str) -> DataFrame:
-    """Stored Silver rows of all batches."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SILVER_SCHEMA) + ", batch BIGINT"
-    return spark.read.schema(schema).parquet(f"{root}/silver/events")
+    """Stored Silver rows of all batches, each row of an event that came more than once."""
+    return spark.read.schema(_silver_ddl()).parquet(f"{root}/silver/events")
+
+
+def latest_silver(spark: SparkSession, root: str) -> DataFrame:
+    """Silver with the last write of each event over all batches."""
+    return last_write(current_silver(spark, root), SILVER_IDENTITY, ("landed_at", "batch"))
 
 
 def refresh_gold(spark: SparkSession, root: str, touched: DataFrame) -> None:
-    """Recompute the touched (type, day) metrics from the full Silver partitions."""
+    """Recompute the listed (type, day) metrics from the full Silver partitions, as after a repair of Silver."""
     rows = sinks.only_partitions(current_silver(spark, root), touched, ("event_type", "dt"))
     latest = last_write(rows, SILVER_IDENTITY, ("landed_at", "batch"))
-    sinks.write_gold(daily_metrics(latest, ordered=False), f"{root}/gold/metrics")
+    sinks.publish_metrics(daily_metrics(latest, ordered=False), root, "gold-refresh")
 
 
 def fold_batches(spark: SparkSession, root: str, up_to_batch: int, first_day: str, last_day: str) -> int:
@@ -163,6 +290,6 @@ def fold_batches(spark: SparkSession, root: str, up_to_batch: int, first_day: st
     )
     gone = materialize(stale, "stale")
     sinks.write_partitions(folded, path, ("event_type", "dt", "batch"))
-    deleted = materialize(delete_paths(gone), "deleted").filter("deleted").count()
+    deleted = delete_paths(gone, scratch_path(spark, "fold")).first()["deleted"]
     spark.catalog.refreshByPath(path)
     return deleted
