@@ -69,7 +69,7 @@ def test_batch_reads_its_own_rows_and_the_partials_of_its_keys(spark, tmp_root,
     # Without the rows of the first batch, and with unreadable partials of the other day.
     for folder in ("event_type=purchase/dt=2026-01-02", "event_type=purchase/dt=2026-01-09"):
         storage.remove(spark, f"{tmp_root}/silver/events/{folder}/batch=0")
-    other = f"{tmp_root}/check/gold/partials/event_type=purchase/dt=2026-01-09/batch=0"
+    other = f"{tmp_root}/check/gold/partials/dt=2026-01-09/batch=0"
     for name in os.listdir(other):
         if name.endswith(".parquet"):
             with open(f"{other}/{name}", "w") as spoiled:

@@ -59,13 +59,13 @@ def with_bronze(events_df: DataFrame, *keep: str, offset: str = "0") -> DataFram
     )
 
 
-SLICES = 5
+SLICES = 4
 
 
 def with_slices(events_df: DataFrame, repeats: bool = False) -> DataFrame:
     """Bronze rows dealt into the column `slice`, as they arrive over time.
 
-    With ``repeats`` every tenth event comes again two slices on (after the last slice the
+    With ``repeats`` every seventh event comes again two slices on (after the last slice the
     first follows, so some come before what they replace), as another object landed an
     hour later, with one more dollar.
     """
@@ -73,7 +73,7 @@ def with_slices(events_df: DataFrame, repeats: bool = False) -> DataFrame:
     first = with_bronze(events_df.withColumn("slice", number), "slice")
     if not repeats:
         return first
-    again = events_df.filter("event_id % 10 = 0").withColumns({"slice": (number + 2) % SLICES, "value": F.col("value") + 1})
+    again = events_df.filter("event_id % 7 = 0").withColumns({"slice": (number + 2) % SLICES, "value": F.col("value") + 1})
     amended = with_bronze(again, "slice").withColumns(
         {
             "source_key": F.concat("source_key", F.lit(".2")),
@@ -89,9 +89,12 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     A test table of one small file is read by one task. Only where the session sets
     tidemark.feed.partitions, as the bench does, its rows are dealt out first.
     """
-    rows = events(spark, sf_dir)
-    parts = spark.conf.get("tidemark.feed.partitions", None)
-    return with_bronze(rows.repartition(int(parts)) if parts else rows)
+    return with_bronze(dealt(events(spark, sf_dir)))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    parts = rows.sparkSession.conf.get("tidemark.feed.partitions", None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def cleansed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), gate: bool = False) -> DataFrame:

@@ -86,10 +86,12 @@ def is_stored(spark: SparkSession, path: str) -> bool:
     return exists(spark, path)
 
 
-def replace_run(rows: DataFrame, path: str, run_id: str, columns: tuple[str, ...], format: str = "parquet") -> None:
+def replace_run(
+    rows: DataFrame, path: str, run_id: str, columns: tuple[str, ...], format: str = "parquet", empty: bool | None = None
+) -> None:
     """Rows of one run by further columns. A repeated run replaces all it wrote before, with nothing too."""
     folder = f"{path}/run_id={run_id}"
-    if rows.isEmpty():
+    if rows.isEmpty() if empty is None else empty:
         remove(rows.sparkSession, folder)
         return
     writer = rows.hint("rebalance", *columns).write if format == "parquet" else rows.coalesce(1).write
@@ -135,9 +137,9 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
 GOLD_REJECTS = "payload STRING, zone STRING, run_id STRING, reason STRING, metric STRING, dt STRING"
 
 
-def write_gold_quarantine(rows: DataFrame, path: str, run_id: str) -> None:
+def write_gold_quarantine(rows: DataFrame, path: str, run_id: str, empty: bool | None = None) -> None:
     """Rejected metric rows by run, reason, metric and day."""
-    replace_run(rows, path, run_id, ("reason", "metric", "dt"))
+    replace_run(rows, path, run_id, ("reason", "metric", "dt"), empty=empty)
 
 
 def read_gold_quarantine(spark: SparkSession, path: str) -> DataFrame:
@@ -156,8 +158,9 @@ def publish_metrics(metrics: DataFrame, root: str, run_id: str) -> tuple[int, in
         K.or_unknown(F.col("event_type")).alias("metric"),
         K.or_unknown(F.col("dt")).alias("dt"),
     )
-    write_gold_quarantine(rejects, f"{root}/gold/quarantine", run_id)
-    return good.count(), bad.count()
+    sides = checked.agg(F.count_if(F.size("reasons") == 0).alias("good"), F.count_if(F.size("reasons") > 0).alias("bad")).first()
+    write_gold_quarantine(rejects, f"{root}/gold/quarantine", run_id, empty=not sides["bad"])
+    return sides["good"], sides["bad"]
 
 
 def write_report(report: DataFrame, path: str, day: str) -> None:

@@ -214,8 +214,8 @@ def gold_stream(
     """Gold kept up to date from the Silver files as they are stored.
 
     The state and the partial sums both lie under the checkpoint: if it is lost, Gold is
-    built again from all of Silver. A batch writes its partial sums by type, day and batch,
-    reads those of the types and days it changed, splits the metrics by the contract and
+    built again from all of Silver. A batch writes its partial sums, a row per type and day,
+    by day and batch, reads those of the types and days it changed, splits the metrics by the contract and
     publishes both sides. Files that a repeated Silver batch has replaced meanwhile are
     passed over; the rows that replace them come as other files.
     """
@@ -229,16 +229,16 @@ def gold_stream(
         started = datetime.now(tz=timezone.utc)
         session = changed.sparkSession
         sums = [F.sum(c).alias(c) for c in ("events", "added", "retracted", "fresh", "overwritten", "unchanged")]
-        deltas = materialize(changed.groupBy("event_type", "dt").agg(*sums), "gold-deltas")
-        made = deltas.filter("fresh > 0 OR overwritten > 0").withColumn("batch", F.lit(batch_id).cast("bigint"))
-        if not made.isEmpty():
-            sinks.write_partitions(made, partials, ("event_type", "dt", "batch"), rebalance=False)
-            stored = session.read.schema(f"{CHANGES}, batch BIGINT").parquet(partials)
-            metrics = metrics_of(sinks.only_partitions(stored, made, ("event_type", "dt")))
+        made = changed.groupBy("event_type", "dt").agg(*sums).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        made.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(partials)
+        stored = session.read.schema(f"{CHANGES}, batch BIGINT").parquet(partials)
+        own = stored.filter(F.col("batch") == F.lit(batch_id))
+        counts = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("fresh", "overwritten", "unchanged")]).first()
+        accepted = rejected = 0
+        if counts["fresh"] or counts["overwritten"]:
+            touched = own.filter("fresh > 0 OR overwritten > 0").select("event_type", "dt")
+            metrics = metrics_of(sinks.only_partitions(stored, touched, ("event_type", "dt")))
             accepted, rejected = sinks.publish_metrics(metrics, root, f"gold-stream-{batch_id}")
-        else:
-            accepted = rejected = 0
-        counts = deltas.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("fresh", "overwritten", "unchanged")]).first()
         record = run_record(
             session, f"gold-stream-{batch_id}", "succeeded", started, "gold", "gold", datetime.now(tz=timezone.utc),
             metrics=json.dumps({**counts.asDict(), "gold_written": accepted, "rejected": rejected}),
