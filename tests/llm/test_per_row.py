@@ -248,3 +248,16 @@ def test_scores_against_counting(documents, empty, texts):
     assert lattice.score_documents(empty, MODEL, held).collect() == []
     untrained = lattice.score_documents(documents, MODEL, F.lit(True)).collect()
     assert all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in untrained)
+
+
+def test_ids_around_every_letter_and_cut():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(BPE), packing._word_ids(BPE)
+    for code in range(0x21, 0x30000):
+        char = chr(code)
+        if not (char.isalpha() or char.lower() != char or code < 0x3000):
+            continue
+        for text in (f"{char}.", f"a{char}?!", f"{char}b, x"):
+            got = np.frombuffer(packing.encode_text(text, words, 2), "<u4")[:-1].tolist()
+            assert got == tokenizer.encode(text, add_special_tokens=False).ids, (hex(code), text)
