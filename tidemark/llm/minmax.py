@@ -103,13 +103,13 @@ def signatures(docs: DataFrame, *, bands: int, rows: int, size: int) -> DataFram
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, shingles) of the wanted (class, doc_id) rows, one row per class."""
+    """(class, shingles) of the wanted (class, row) rows, one row per class."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
             keys = [set_key(s) for s in sets]
-            # Rows may share an id; the class tells which of their texts was meant.
+            # Texts may share a row's name, by chance; the class tells which was meant.
             mine = [i for i, key in enumerate(batch.column(0).to_pylist()) if keys[i] == key]
             yield pa.record_batch(
                 [
@@ -119,7 +119,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 ["class", "shingles"],
             )
 
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    # One row stands for a class, so ids that are null or repeated bring no other texts along.
+    texts = docs.join(wanted, "row")
     built = texts.select("class", "text").mapInArrow(build, "class BINARY, shingles ARRAY<LONG>")
     return built.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
@@ -298,7 +299,9 @@ def near_duplicates(
     filled = signed.filter("n_shingles > 0")
     # All rows of a class have the same buckets.
     classes = materialize(
-        filled.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets")),
+        filled.groupBy("class").agg(
+            F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("buckets").alias("buckets")
+        ),
         "minmax-classes",
     )
     placed = classes.select("class", F.explode("buckets").alias("bucket"))
@@ -312,7 +315,7 @@ def near_duplicates(
     )
     members = materialize(members.select("bucket", "class").join(pivots, "bucket"), "minmax-pivots")
     nodes = members.select("class").distinct()
-    sets = materialize(shingle_sets(docs, classes.select("class", "doc_id").join(nodes, "class", "left_semi"), size), "minmax-sets")
+    sets = materialize(shingle_sets(docs, classes.select("class", "row").join(nodes, "class", "left_semi"), size), "minmax-sets")
 
     links = materialize(_pivot_links(members, sets, percent), "minmax-links")
     labels = link_components(links, nodes, "minmax")
