@@ -105,14 +105,14 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def edited_texts(rows: DataFrame, order: DataFrame) -> DataFrame:
-    """(row, text, edited): the last half of each text replaced by the start of the next."""
-    heads = rows.select("row", "text").join(
+    """(row, text, edited) of each row once: the last half of its text replaced by the start of the next."""
+    rows = rows.groupBy("row").agg(F.first("text").alias("text"))
+    heads = rows.join(
         order.select(F.col("next_row").alias("row"), F.col("row").alias("owner"), "half"), "row"
     )
-    # Rows that are repeated meet again in the grouping by row; their sets are equal.
     heads = heads.select(F.col("owner").alias("row"), "half", F.substring("text", F.lit(1), F.col("half")).alias("head"))
     kept = F.substring("text", F.lit(1), F.length("text") - F.col("half"))
-    return rows.select("row", "text").join(heads, "row").select("row", "text", F.concat(kept, "head").alias("edited"))
+    return rows.join(heads, "row").select("row", "text", F.concat(kept, "head").alias("edited"))
 
 
 def _hashed(own: Column) -> Column:
