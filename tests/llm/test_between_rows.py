@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import imatch, minmax, stages, substrings, suffixes, wordhash
 from tests.llm.conftest import prose
@@ -223,3 +224,48 @@ def test_pipeline_stages_take_effect(spark, documents, texts, tmp_root):
     assert all(r["n_chars"] == len(r["text"]) for r in seen["line_dedup"].collect() if r["text"] is not None)
     run = {r["doc_id"] for r in corpus_pipeline.run(spark, tmp_root).collect()}
     assert run == {r["doc_id"] for r in seen["packing"].collect()}
+
+
+def test_many_null_and_repeated_ids_stay_linear(spark):
+    rows = [(None, " ".join(prose(10_000 + i // 2, 12))) for i in range(20_000)]
+    rows += [(7, f"the same id with other words each time number {i} of them all") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    classes = spark.createDataFrame(
+        [(minmax.set_key(minmax.shingle_set(t)), t) for _, t in rows[:4000:2]], "class BINARY, text STRING"
+    )
+    keyed = docs.withColumn("row", minmax.row_key())
+    wanted = classes.select("class", F.xxhash64(F.lit(None).cast("long"), "text").alias("row"))
+    assert minmax.shingle_sets(keyed, wanted, 4).count() == 2000
+    found = minmax.near_duplicates(docs).agg(F.count("*"), F.countDistinct("class"), F.countDistinct("component")).first()
+    assert tuple(found) == (20_500, 10_500, 10_500)
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    texts = [" ".join(prose(40 + i, 30)) for i in range(3)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([r for r in rows for _ in range(1000)], "doc_id LONG, text STRING")
+    once = {r["doc_id"]: r for r in imatch.fingerprint_documents(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    got = imatch.fingerprint_documents(docs)
+    assert got.groupBy("doc_id").count().filter("count = 1000").count() == 3
+    assert {r["doc_id"]: r for r in got.dropDuplicates(["doc_id"]).collect()} == once
+
+
+def test_fingerprints_against_plain_computation(spark, documents, texts):
+    """Likeness and equality of fingerprints from sets of words alone."""
+    docs = documents.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in imatch.fingerprint_documents(docs).collect()}
+    plain = {i: (t or "") for i, t in texts if i is not None}
+    order = sorted(plain)
+    words = {i: frozenset(plain[i].lower().split()) for i in order}
+    for at, i in enumerate(order):
+        following = order[(at + 1) % len(order)]
+        half = len(plain[i]) // 2
+        edited = plain[i][: len(plain[i]) - half] + plain[following][:half]
+        row = got[i]
+        assert row["n_chars"] == len(plain[i])
+        assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = (x.split(" ") for x in (row["fingerprint"], row["edited_fingerprint"], got[following]["fingerprint"]))
+        for near, other in ((row["near_edited"], b), (row["near_next"], c)):
+            filled = [(x, y) for x, y in zip(a, other, strict=True) if (x, y) != ("-", "-")]
+            assert near == (sum(x == y for x, y in filled) / len(filled) if filled else 1.0)
+        assert (row["fingerprint"] == got[following]["fingerprint"]) == (words[i] == words[following])
