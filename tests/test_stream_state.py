@@ -117,3 +117,47 @@ def test_metrics_that_break_the_contract_are_set_aside(spark, tmp_root, event, m
     rejected = sinks.read_gold_quarantine(spark, f"{tmp_root}/gold/quarantine").first()
     assert (rejected["reason"], rejected["metric"], rejected["dt"]) == ("negative_amount", "refund", "2026-01-02")
     assert last_counts(spark, tmp_root)["rejected"] == 1
+
+
+def test_drain_by_ten_messages(spark, tmp_root):
+    os.makedirs(f"{tmp_root}/queue")
+    ref = '{{"Records":[{{"s3":{{"bucket":{{"name":"land"}},"object":{{"key":"k{}"}}}}}}]}}'
+    for part in range(2):
+        lines = [ref.format(f"{part}-{i}") for i in range(25)]
+        lines[13] = "not json"
+        with open(f"{tmp_root}/queue/{part}.txt", "w") as out:
+            out.write("\n".join(lines) + "\n")
+    messages = jobs.message_stream(spark, f"{tmp_root}/queue", files_per_batch=1)
+    jobs.drain_messages(messages, f"{tmp_root}/refs", f"{tmp_root}/dlq", f"{tmp_root}/check").awaitTermination()
+    units = spark.read.parquet(f"{tmp_root}/refs-invocations").collect()
+    assert sorted((int(r["batch"]), r["invocation"], r["messages"], r["failed"]) for r in units) == [
+        (b, *unit) for b in (0, 1) for unit in ((0, 10, 0), (1, 10, 1), (2, 5, 0))
+    ]
+    assert spark.read.parquet(f"{tmp_root}/refs").count() == 48
+    from tidemark.sources import deadletter
+
+    assert {r["body"] for r in deadletter.waiting(spark, f"{tmp_root}/dlq").collect()} == {"not json"}
+
+
+def test_producer_counts_what_each_sink_took(spark, tmp_root):
+    from tidemark.operators import runs as R
+    from tidemark.streaming import producer, records
+
+    texts = ['{"event_id":"a","user_id":"u1"}', "not json", '{"event_id":"b","user_id":"","x":"' + "y" * 90 + '"}', "{}", None]
+    spark.createDataFrame([(t,) for t in texts], "raw STRING").coalesce(1).write.parquet(f"{tmp_root}/posted")
+    stream = spark.readStream.schema("raw STRING").parquet(f"{tmp_root}/posted")
+    limits = {"records": 31, "delivery": 31}
+    producer.produce(stream, tmp_root, f"{tmp_root}/check", limits).awaitTermination()
+    counts = {r["name"]: int(r["value"]) for r in R.counters(sinks.read_runs(spark, f"{tmp_root}/runs")).collect()}
+    assert counts == {
+        "records.sent": 1, "records.failed": 4, "records.undecodable": 3, "records.oversized": 1, "records.bytes": 31,
+        "delivery.sent": 0, "delivery.failed": 5, "delivery.undecodable": 3, "delivery.oversized": 2, "delivery.bytes": 0,
+    }
+    kept = producer.sent(spark, tmp_root, "records")
+    row = kept.filter("outcome = 'sent'").select("key", records.decode(F.col("data")).alias("text")).first()
+    assert tuple(row) == ("u1", texts[0])
+    assert kept.filter("outcome = 'failed' AND raw = 'not json' AND reason = 'undecodable'").count() == 1
+    assert "9 records failed" in sinks.read_runs(spark, f"{tmp_root}/runs").first()["error"]
+    # The same batch sent again replaces itself.
+    producer.send(spark.read.parquet(f"{tmp_root}/posted"), tmp_root, "records", 0, 31)
+    assert producer.sent(spark, tmp_root, "records").count() == 5

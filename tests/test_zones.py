@@ -343,3 +343,80 @@ def test_ties_of_the_last_write_do_not_depend_on_the_layout(spark):
     rows = spark.createDataFrame([(1, 5, f"v{i}") for i in range(40)], "k INT, at INT, v STRING")
     winners = {last_write(rows.repartition(n), ("k",), ("at",)).first()["v"] for n in (1, 2, 3, 7, 13)}
     assert len(winners) == 1
+
+
+def test_compaction_keeps_the_folders_of_runs(spark, tmp_root):
+    path = f"{tmp_root}/gold/quarantine"
+    schema = "payload STRING, zone STRING, reason STRING, metric STRING, dt STRING"
+    for run in ("r1", "r2"):
+        rows = [(f"{run}-{i}", "gold", "negative_amount", "refund", "2026-01-02") for i in range(4)]
+        frame = spark.createDataFrame(rows, schema).repartition(4)
+        frame.write.partitionBy("reason", "metric", "dt").parquet(f"{path}/run_id={run}")
+    assert files(spark, path) > 2 and upkeep.layout(spark, path) == ["run_id", "reason", "metric", "dt"]
+    plan = upkeep.partition_plan(spark, path, "gold.quarantine", "2026-01-03", max_objects=1)
+    upkeep.compact(spark, path, plan)
+    assert files(spark, path) == 2
+    left = sinks.read_gold_quarantine(spark, path)
+    assert sorted((r["run_id"], r["payload"]) for r in left.collect()) == [(r, f"{r}-{i}") for r in ("r1", "r2") for i in range(4)]
+
+
+def test_repeated_run_leaves_no_stale_rejects(spark, tmp_root):
+    schema = "dt STRING, event_type STRING, events BIGINT, amount_usd DOUBLE"
+    bad = spark.createDataFrame([("2026-01-02", "purchase", 1, -1.0), ("2026-01-02", "refund", 1, 1.0)], schema)
+    assert sinks.publish_metrics(bad, tmp_root, "r1") == (1, 1)
+    assert sinks.read_gold_quarantine(spark, f"{tmp_root}/gold/quarantine").count() == 1
+    assert sinks.publish_metrics(bad.filter("amount_usd > 0"), tmp_root, "r1") == (1, 0)
+    assert sinks.read_gold_quarantine(spark, f"{tmp_root}/gold/quarantine").count() == 0
+
+
+def test_freshness_of_gold_by_files_then_runs(spark, tmp_root):
+    from datetime import datetime, timedelta, timezone
+
+    from tidemark.operators import observe as O
+    from tidemark.operators.runs import run_record
+
+    now = datetime.now(tz=timezone.utc)
+    assert O.gold_freshness(spark, tmp_root, now).first()["source"] == "none"
+    done = now - timedelta(hours=30)
+    sinks.append_runs(run_record(spark, "r", "succeeded", done, "gold", "gold", done), f"{tmp_root}/runs")
+    row = O.gold_freshness(spark, tmp_root, now).first()
+    assert (row["source"], row["age_hours"], row["status"]) == ("runs", 30.0, "breached")
+    schema = "dt STRING, event_type STRING, events BIGINT, amount_usd DOUBLE"
+    sinks.write_gold(spark.createDataFrame([("2026-01-02", "purchase", 1, 1.0)], schema), f"{tmp_root}/gold/metrics")
+    row = O.gold_freshness(spark, tmp_root, now + timedelta(hours=1)).first()
+    assert (row["source"], row["status"]) == ("gold", "ok") and 0.9 < row["age_hours"] <= 1.0
+
+
+def test_window_rebuilds_whole_partitions_at_the_edge_of_an_offset(spark, tmp_root, bronze, event):
+    from tidemark.operators import cleanse as C
+    from tidemark.operators import late as L
+
+    rows = bronze(
+        event(event_id="in", event_ts="2026-01-10T23:30:00+14:00"),  # 09:30 UTC of the day, dt of the day
+        event(event_id="edge", event_ts="2026-01-11T05:00:00+14:00"),  # 15:00 UTC of the 10th, dt the 11th
+        event(event_id="after", event_ts="2026-01-11T20:00:00+00:00"),  # the 11th in both
+        event(event_id="west", event_ts="2026-01-09T20:00:00-12:00"),  # 08:00 UTC of the 10th, dt the 9th
+        event(event_id="far", event_ts="2026-01-07T00:00:00+00:00"),
+    )
+    silver = C.accepted(C.cleanse(rows, "2026-01-20T00:00:00Z")).select(*sinks.SILVER_SCHEMA.names)
+    sinks.write_partitions(silver, f"{tmp_root}/silver", ("event_type", "dt"))
+    rebuilt = L.rebuild_window(sinks.read_silver(spark, f"{tmp_root}/silver"), "2026-01-10", 0)
+    assert {r["dt"]: r["events"] for r in rebuilt.collect()} == {"2026-01-09": 1, "2026-01-10": 1, "2026-01-11": 2}
+    plan = rebuilt._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "2026-01-09" in plan and "2026-01-11" in plan
+
+
+def test_gold_prunes_the_silver_that_a_join_reads(spark, tmp_root, landed):
+    from tidemark.operators import cleanse as C
+    from tidemark.operators.gold import daily_metrics
+    from tidemark.plans import kpis
+
+    rows = C.accepted(C.cleanse(landed, "2026-01-03T00:00:00Z")).select(*sinks.SILVER_SCHEMA.names)
+    sinks.write_partitions(rows, f"{tmp_root}/silver", ("event_type", "dt"))
+    silver = sinks.read_silver(spark, f"{tmp_root}/silver")
+    sinks.write_gold(daily_metrics(silver, ordered=False), f"{tmp_root}/gold")
+    gold = sinks.read_gold(spark, f"{tmp_root}/gold").withColumnRenamed("metric", "event_type").filter("amount_usd > 10")
+    joined = kpis.events_with_daily_metric(silver, gold)
+    assert joined.count() == 4
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "parse_json" not in plan

@@ -66,3 +66,21 @@ def quarantine_labels(record: Column) -> dict[str, Column]:
         "metric": F.coalesce(text("metric"), text("event_type"), text("payload.event_type"), F.lit("unknown")),
         "dt": F.coalesce(text("dt"), text("payload.dt"), F.lit("")),
     }
+
+
+def merge_gold_rejects(rejects: DataFrame) -> DataFrame:
+    """Stored Gold rejects merged by reason, metric and day: records, and the runs they came from.
+
+    A label that a row lacks is taken from its payload.
+    """
+    blank = F.lit("unknown")
+    outer = F.struct("reason", *[F.nullif(F.col(c), blank).alias(c) for c in ("metric", "dt")])
+    text = F.concat(
+        F.expr("left(to_json(_outer), length(to_json(_outer)) - 1)"), F.lit(',"payload":'), F.coalesce("payload", F.lit("null")), F.lit("}")
+    )
+    rows = rejects.withColumn("_outer", outer)
+    labels = quarantine_labels(F.try_parse_json(text))
+    named = rows.select("run_id", *[label.alias(name) for name, label in labels.items()])
+    return named.groupBy("reason", "metric", "dt").agg(
+        F.count(F.lit(1)).alias("record_count"), F.countDistinct("run_id").alias("compacted_from")
+    )

@@ -18,8 +18,11 @@ from tidemark.schemas import (
     QUALITY_REJECT_CEILING,
     QUARANTINE_NODES,
     RELATION_FAMILIES,
+    RUN_SCHEMA,
     SUCCESS_STATUSES,
 )
+from tidemark.sources.objects import inventory
+from tidemark.sources.storage import exists
 
 
 def freshness(
@@ -38,13 +41,33 @@ def freshness(
     )
 
 
-def last_gold_write(inventory: DataFrame, runs: DataFrame) -> DataFrame:
-    """Newest Gold object, else the newest finish of a succeeded run."""
-    gold = inventory.agg(F.max("modificationTime").alias("at")).select("at", F.lit(1).alias("prefer"))
+def last_gold_write(objects: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row (last_written, source): newest Gold object, else the newest finish of a succeeded run, else none."""
+    gold = objects.agg(F.max("modificationTime").alias("at")).select("at", F.lit(1).alias("prefer"), F.lit("gold").alias("source"))
     finished = runs.filter(F.col("status").isin(*SUCCESS_STATUSES, "success", "completed"))
-    run = finished.agg(F.max(F.coalesce("finished_at", "started_at")).alias("at")).select("at", F.lit(2).alias("prefer"))
-    known = gold.unionByName(run).filter(F.col("at").isNotNull())
-    return known.agg(F.min_by("at", "prefer").alias("last_written"))
+    run = finished.agg(F.max(F.coalesce("finished_at", "started_at")).alias("at"))
+    known = gold.unionByName(run.select("at", F.lit(2).alias("prefer"), F.lit("runs").alias("source"))).filter(F.col("at").isNotNull())
+    return known.agg(
+        F.min_by("at", "prefer").alias("last_written"), F.coalesce(F.min_by("source", "prefer"), F.lit("none")).alias("source")
+    )
+
+
+def gold_freshness(
+    spark: SparkSession, root: str, as_of: datetime | str, max_age_hours: float = FRESHNESS_BUDGET_HOURS
+) -> DataFrame:
+    """Freshness of the stored Gold zone by when its files were committed, with the run log behind it.
+
+    Only listings and the run log are read. Where neither knows a write the age is null and
+    the status unknown.
+    """
+    gold, runs = f"{root}/gold/metrics", f"{root}/runs"
+    nothing = "CAST(NULL AS TIMESTAMP) AS modificationTime"
+    listed = inventory(spark, gold, "*.parquet") if exists(spark, gold) else spark.range(0).selectExpr(nothing)
+    log = spark.read.schema(RUN_SCHEMA).parquet(runs) if exists(spark, runs) else spark.range(0).selectExpr(
+        "'' AS status", "CAST(NULL AS TIMESTAMP) AS finished_at", "CAST(NULL AS TIMESTAMP) AS started_at"
+    )
+    checked = freshness(last_gold_write(listed, log), as_of, max_age_hours)
+    return checked.withColumn("status", F.when(F.col("source") == "none", "unknown").otherwise(F.col("status")))
 
 
 def nodes_from_counts(counts: DataFrame) -> DataFrame:

@@ -66,3 +66,17 @@ def objects_per_partition(
     return parts.groupBy(*[F.coalesce(F.col(c), F.lit("unknown")).alias(c) for c in columns]).agg(
         F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes")
     )
+
+
+def describe_zone(listing: DataFrame, zone: str, enum_key: str, start: date, end: date, key: str = "path") -> DataFrame:
+    """Partitions of a zone as (zone, name, dt, expected, present): the window's grid beside what is stored."""
+    expected = projected_partitions(listing.sparkSession, enum_key, start, end).withColumn("expected", F.lit(True))
+    present = discovered(listing, (enum_key, "dt"), key, ordered=False).withColumn("present", F.lit(True))
+    both = expected.join(present, [enum_key, "dt"], "full_outer")
+    return both.select(
+        F.lit(zone).alias("zone"),
+        F.col(enum_key).alias("name"),
+        "dt",
+        F.coalesce("expected", F.lit(False)).alias("expected"),
+        F.coalesce("present", F.lit(False)).alias("present"),
+    )

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import cleanse as C
+from tidemark.operators.gold import daily_metrics
+from tidemark.schemas import SILVER_SCHEMA
+from tidemark.session import scratch_path
+from tidemark.sources import sinks
 
 # Fixed parameters of the derived data set.
 WATERMARK = "2024-01-16T00:00:00Z"
@@ -103,3 +107,14 @@ def cleansed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), gate:
 
 def silver(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return C.accepted(cleansed(spark, sf_dir, keep))
+
+
+def stored_zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Silver and Gold as stored: the texts are parsed once, and what reads the zones can prune by type and day."""
+    root = scratch_path(spark, "zones")
+    rows = silver(spark, sf_dir, ("landed_at",)).select(*SILVER_SCHEMA.names)
+    sinks.write_partitions(rows, f"{root}/silver", ("event_type", "dt"))
+    kept = sinks.read_silver(spark, f"{root}/silver")
+    sinks.write_gold(daily_metrics(kept, ordered=False), f"{root}/gold")
+    gold = sinks.read_gold(spark, f"{root}/gold").withColumnRenamed("metric", "event_type").drop("metric_day")
+    return kept, gold

@@ -48,6 +48,20 @@ def reconcile(cleansed: DataFrame) -> DataFrame:
     )
 
 
+#: Lookback of a batch that is closed: nothing in it is late.
+CLOSED_LOOKBACK_DAYS = 3650
+
+
+def closed_batch(bronze: DataFrame) -> DataFrame:
+    """Stage counts of a batch on its own, without sinks; its watermark is a minute past its latest event."""
+    rows = materialize(C.inspect(bronze, gate=True).drop("raw"), "closed")
+    watermark = rows.agg((F.max(F.when(F.col("reason").isNull(), F.col("event_ts"))) + F.expr("INTERVAL 1 MINUTE")).alias("at")).first()["at"]
+    mark = F.lit(watermark).cast("timestamp")
+    flagged = rows.withColumn("_late", F.when(F.col("reason").isNull(), C.late_flag(F.col("event_ts"), mark, CLOSED_LOOKBACK_DAYS)))
+    late = flagged.agg(F.count_if("_late").alias("late"))
+    return reconcile(flagged).select("*", late.scalar().alias("late"), mark.alias("watermark"))
+
+
 def ingest(spark: SparkSession, messages: DataFrame, present: DataFrame, root: str, prefix: str = "events/") -> dict:
     """Check the objects that notifications name and record the arrival run.
 

@@ -93,3 +93,12 @@ def events_with_daily_metric(silver: DataFrame, gold: DataFrame) -> DataFrame:
     """
     metric = gold.select("event_type", "dt", F.col("events").alias("day_events"), F.col("amount_usd").alias("day_amount_usd"))
     return silver.join(metric, ["event_type", "dt"], "inner")
+
+
+def busy_days(silver: DataFrame, gold: DataFrame, deviations: float = 2.0) -> DataFrame:
+    """Silver events of the types and days with far more events than the average one.
+
+    With stored zones the chosen Gold rows prune Silver's partitions while the query runs.
+    """
+    usual = gold.agg((F.avg("events") + deviations * F.stddev_pop("events")).alias("limit"))
+    return events_with_daily_metric(silver, gold.filter(F.col("events") > usual.scalar()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import StreamingQueryException
@@ -25,7 +26,7 @@ from tidemark.schemas import BRONZE_SCHEMA, GOLD_CONTRACT, SILVER_SCHEMA
 from tidemark.session import materialize, scratch_path
 from tidemark.sources import catalog, deadletter, generator, objects, sinks
 from tidemark.sources.notifications import extract_refs
-from tidemark.streaming import jobs, records
+from tidemark.streaming import jobs, producer, records
 
 
 def _landing_day():
@@ -794,18 +795,25 @@ def redrive(spark, sf):
 @report(
     "stream_drain",
     """SELECT source, count(*) AS records FROM refs GROUP BY source
-       UNION ALL SELECT 'dead_letter', count(*) FROM bronze WHERE n % 5 = 4 AND n % 3 <> 2""",
+       UNION ALL SELECT 'dead_letter', count(*) FROM bronze WHERE n % 5 = 4 AND n % 3 <> 2
+       UNION ALL SELECT 'messages', count(*) FROM bronze
+       UNION ALL SELECT 'failed alone', count(*) FROM bronze WHERE n % 5 = 4 AND n % 3 <> 2
+       UNION ALL SELECT 'most in an invocation', least(count(*), 10) FROM bronze""",
     REFS_SQL,
 )
 def stream_drain(spark, sf):
     """Notifications drained as a stream into references and dead letters."""
     root = scratch_path(spark, "drain")
-    _messages(spark, sf).select("raw").write.text(f"{root}/queue")
+    _messages(spark, sf).select("raw").write.option("maxRecordsPerFile", 10_000).text(f"{root}/queue")
     messages = jobs.message_stream(spark, f"{root}/queue")
     jobs.drain_messages(messages, f"{root}/refs", f"{root}/dlq", f"{root}/checkpoint").awaitTermination()
     refs = spark.read.parquet(f"{root}/refs").groupBy("source").agg(F.count(F.lit(1)).alias("records"))
     dead = deadletter.waiting(spark, f"{root}/dlq").agg(F.count(F.lit(1)).alias("records"))
-    return refs.unionByName(dead.select(F.lit("dead_letter").alias("source"), "records"))
+    invocations = spark.read.parquet(f"{root}/refs-invocations").agg(
+        F.sum("messages").alias("messages"), F.sum("failed").alias("failed alone"), F.max("messages").alias("most in an invocation")
+    )
+    counted = invocations.unpivot([], invocations.columns, "source", "records")
+    return refs.unionByName(dead.select(F.lit("dead_letter").alias("source"), "records")).unionByName(counted)
 
 
 @report("stream_bronze", "SELECT dt, count(*) AS events FROM silver GROUP BY dt")
@@ -913,3 +921,123 @@ def stream_replay(spark, sf):
     }
     shown = [frame.select(F.lit(name).alias("part"), "records") for name, frame in parts.items()]
     return reduce(DataFrame.unionByName, shown)
+
+
+def _posted(spark, sf) -> DataFrame:
+    """Event texts of the feed, some that are no event and some with a long note."""
+    note = ',"note":"' + "x" * 400 + '"}'
+    n, raw = _number(), F.col("raw")
+    text = F.when(n % 29 == 0, "not json").when(
+        (n % 31 == 0) & (raw != "{}"), F.concat(raw.substr(F.lit(1), F.length(raw) - 1), F.lit(note))
+    )
+    return feed.bronze(spark, sf).select(text.otherwise(raw).alias("raw"))
+
+
+@report(
+    "stream_produce",
+    """SELECT sink, name, CAST(value AS BIGINT) AS value, CAST(CASE name WHEN 'sent' THEN value WHEN 'failed' THEN value END AS BIGINT) AS stored
+       FROM (SELECT count(*) AS total, count(*) FILTER (WHERE n % 29 = 0 OR event_id = '') AS undecodable,
+                    count(*) FILTER (WHERE n % 29 <> 0 AND event_id <> '' AND n % 31 = 0) AS oversized FROM bronze) AS c,
+            (VALUES ('records'), ('delivery')) AS s(sink),
+            LATERAL (VALUES ('sent', total - undecodable - oversized), ('failed', undecodable + oversized),
+                            ('undecodable', undecodable), ('oversized', oversized)) AS v(name, value)""",
+)
+def stream_produce(spark, sf):
+    """Events published to two sinks in batches: the counts of the run log, beside those of what is stored."""
+    root = scratch_path(spark, "produce")
+    _posted(spark, sf).write.parquet(f"{root}/posted")
+    files = len(spark.read.parquet(f"{root}/posted").inputFiles())
+    posted = spark.readStream.schema("raw STRING").option("maxFilesPerTrigger", max(1, -(-files // 4))).parquet(f"{root}/posted")
+    limits = {"records": 400, "delivery": 400}
+    producer.produce(posted, root, f"{root}/checkpoint", limits).awaitTermination()
+    logged = R.counters(R.latest_versions(sinks.read_runs(spark, f"{root}/runs")))
+    sums = logged.groupBy(
+        F.substring_index("name", ".", 1).alias("sink"), F.substring_index("name", ".", -1).alias("name")
+    ).agg(F.sum(F.col("value").cast("bigint")).alias("value"))
+    stored = [
+        producer.sent(spark, root, sink).groupBy(F.lit(sink).alias("sink"), F.col("outcome").alias("name")).agg(F.count(F.lit(1)).alias("stored"))
+        for sink in limits
+    ]
+    return sums.filter("name <> 'bytes'").join(reduce(DataFrame.unionByName, stored), ["sink", "name"], "left")
+
+
+@report(
+    "freshness_sources",
+    """SELECT 'gold' AS state, 'gold' AS source, CAST(NULL AS VARCHAR) AS last_written, CAST(NULL AS DOUBLE) AS age_hours, 'ok' AS status
+       UNION ALL SELECT 'runs', 'runs', strftime(max(finished_at), '%Y-%m-%d %H:%M:%S'),
+              round((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(finished_at))) / 3600000000.0, 3),
+              CASE WHEN epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(finished_at)) <= 86400000000 THEN 'ok' ELSE 'breached' END
+       FROM days
+       UNION ALL SELECT 'neither', 'none', NULL, NULL, 'unknown'""",
+    DAY_RUNS_SQL,
+)
+def freshness_sources(spark, sf):
+    """Last write of Gold: by its files, by the run log where Gold holds nothing, or unknown."""
+    root = scratch_path(spark, "fresh")
+    for name in ("gold", "runs"):
+        runs = _zone_runs(spark, sf).select("run_id", "status", "started_at", "finished_at", "metrics")
+        sinks.append_runs(runs, f"{root}/{name}/runs")
+    sinks.write_gold(G.daily_metrics(feed.silver(spark, sf), ordered=False), f"{root}/gold/gold/metrics")
+    # Files of now are as old as the query; their instant is left out of the result.
+    shown = F.when(F.col("source") == "runs", F.date_format("last_written", "yyyy-MM-dd HH:mm:ss"))
+    parts = []
+    for name in ("gold", "runs", "neither"):
+        as_of = datetime.now(tz=timezone.utc) if name == "gold" else "2024-02-01T00:00:00Z"
+        found = O.gold_freshness(spark, f"{root}/{name}", as_of)
+        age = F.when(F.col("source") == "runs", F.col("age_hours")).alias("age_hours")
+        parts.append(found.select(F.lit(name).alias("state"), "source", shown.alias("last_written"), age, "status"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+PLATFORM_SQL = """zones AS (
+  SELECT 'bronze.raw_events' AS dataset, strftime(ts, '%Y-%m-%d') AS dt, '' AS name, count(*) AS records FROM cleansed GROUP BY 2
+  UNION ALL SELECT 'silver.cleaned_events', dt, event_type, count(*) FROM silver GROUP BY dt, event_type
+  UNION ALL SELECT 'silver.quarantine', NULL, reason, count(*) FROM cleansed WHERE reason IS NOT NULL GROUP BY reason
+  UNION ALL SELECT 'gold.daily_metrics', dt, event_type, 1 FROM gold
+  UNION ALL SELECT 'gold.quarantine', strftime(ts, '%Y-%m-%d'), event_type, 1 FROM bronze WHERE event_type = 'error' GROUP BY 2, 3),
+kept AS (
+  SELECT *, dt IS NOT NULL AND CAST(dt AS DATE) < DATE '2024-04-05' - CAST(CASE dataset
+              WHEN 'bronze.raw_events' THEN 80 WHEN 'silver.cleaned_events' THEN 75 WHEN 'gold.daily_metrics' THEN 90 ELSE 70 END AS INTEGER)
+            AS expired FROM zones)"""
+
+
+@report(
+    "platform_maintain",
+    """SELECT dataset, count(*) FILTER (WHERE expired) AS expire_count, count(*) FILTER (WHERE expired) AS deleted_count,
+              CAST(coalesce(sum(records) FILTER (WHERE NOT expired), 0) AS BIGINT) AS records_left, true AS compacted FROM kept GROUP BY dataset
+       UNION ALL SELECT 'all zones', count(*) FILTER (WHERE expired), count(*) FILTER (WHERE expired),
+              CAST(sum(records) FILTER (WHERE NOT expired) AS BIGINT), true FROM kept""",
+    PLATFORM_SQL,
+)
+def platform_maintain(spark, sf):
+    """Five stored zones expired, then compacted, and their counters summed; every record left is there once."""
+    root = scratch_path(spark, "platform")
+    rows = materialize(feed.cleansed(spark, sf, ("source_key", "landed_at", "raw"), gate=True), "platform-rows")
+    for part in range(2):  # fragments in every partition
+        half = rows.filter(F.pmod(F.xxhash64("source_key"), F.lit(2)) == part)
+        landed = half.select("raw", "source_key", "landed_at", _landing_day().alias("dt"))
+        sinks.append_partitions(landed, f"{root}/bronze/events", ("dt",))
+        sinks.append_partitions(C.accepted(half).select(*SILVER_SCHEMA.names), f"{root}/silver/events", ("event_type", "dt"))
+        sinks.write_silver_quarantine(C.quarantined(half), f"{root}/silver/quarantine", f"run-{part}")
+    typed = rows.filter("reason IS NULL").unionByName(
+        feed.events(spark, sf).filter("event_type = 'error'").select(
+            F.col("event_type"), F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.lit(1.0).alias("amount_usd")
+        ),
+        allowMissingColumns=True,
+    )
+    sinks.publish_metrics(G.daily_metrics(typed, ordered=False), root, "run-1")
+    days = {"bronze.raw_events": 80, "silver.cleaned_events": 75, "silver.quarantine": 36500, "gold.daily_metrics": 90, "gold.quarantine": 70}
+    reports = upkeep.maintain_platform(spark, root, "2024-04-05", apply=True, retention_days=days, max_objects=dict.fromkeys(days, 1))
+    zones = reports.join(upkeep.zone_sizes(spark, root), "dataset")
+    shown = zones.select(
+        "dataset", "expire_count", "deleted_count", F.col("records").alias("records_left"), (F.col("crowded") == 0).alias("compacted")
+    )
+    left = zones.agg(F.sum("records").alias("records"), (F.sum("crowded") == 0).alias("compacted"))
+    total = upkeep.platform_totals(reports).select(
+        F.lit("all zones").alias("dataset"),
+        "expire_count",
+        "deleted_count",
+        left.select("records").scalar().alias("records_left"),
+        left.select("compacted").scalar().alias("compacted"),
+    )
+    return shown.unionByName(total)

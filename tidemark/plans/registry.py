@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import operations, reports
+from tidemark.plans import ledgers, operations, reports
 from tidemark.plans.reports import Report
 
-__all__ = ["operations", "oracle_sql", "queries"]
+__all__ = ["ledgers", "operations", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Report]:

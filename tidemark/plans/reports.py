@@ -494,8 +494,7 @@ def zone_counts(spark, sf):
        JOIN gold g ON g.dt = s.dt WHERE g.event_type = 'refund'""",
 )
 def late_refunds(spark, sf):
-    silver = feed.silver(spark, sf)
-    return kpis.late_effect(silver, G.daily_metrics(silver, ordered=False))
+    return kpis.late_effect(*feed.stored_zones(spark, sf))
 
 
 @report(
@@ -504,11 +503,22 @@ def late_refunds(spark, sf):
        FROM silver s JOIN gold g ON g.event_type = s.event_type AND g.dt = s.dt""",
 )
 def gold_silver_join(spark, sf):
-    silver = feed.silver(spark, sf)
-    gold = materialize(G.daily_metrics(silver, ordered=False), "gold")
+    silver, gold = feed.stored_zones(spark, sf)
     return kpis.events_with_daily_metric(silver.select("event_type", "dt", "event_id", "amount_usd"), gold)
 
 
+@report(
+    "busy_day_events",
+    """SELECT s.event_type, s.dt, s.event_id, s.amount_usd, g.events AS day_events, g.amount_usd AS day_amount_usd
+       FROM silver s JOIN gold g ON g.event_type = s.event_type AND g.dt = s.dt
+       WHERE g.events > (SELECT avg(events) FROM gold) + 2 * (SELECT stddev_pop(events) FROM gold)""",
+)
+def busy_day_events(spark, sf):
+    """Silver events of unusually busy days: Gold picks the partitions of Silver that are read at all."""
+    silver, gold = feed.stored_zones(spark, sf)
+    return kpis.busy_days(silver.select("event_type", "dt", "event_id", "amount_usd"), gold)
+
+
 @report(
     "reconcile",
     """SELECT count(*) AS seeded, count(*) FILTER (WHERE reason IS NULL) AS valid,

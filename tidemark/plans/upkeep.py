@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,13 @@ def expire(
     return result
 
 
+def layout(spark: SparkSession, location: str) -> list[str]:
+    """Names of the partition columns in the folders of a table, outer first."""
+    path = inventory(spark, location).select("path").first()
+    below = "" if path is None else path["path"].partition(location.split(":", 1)[-1].strip("/"))[2]
+    return re.findall(r"/([^/=]+)=[^/]*(?=/)", below)
+
+
 def _folders(spark: SparkSession, location: str, columns: list[str]) -> DataFrame:
     """Partition folders that hold objects, with their partition values."""
     objects = inventory(spark, location)
@@ -85,8 +94,11 @@ def compact(
 ) -> DataFrame:
     """Rewrite planned partitions into few objects, row for row; returns those partitions.
 
+    A partition of the plan may be spread over folders of further columns, such as runs;
+    each of them is rewritten for itself.
+
     The rows are staged under `_compact` in the table, a name that readers pass over.
-    When every staged partition has as many rows as the stored one, the folders are
+    When every staged folder has as many rows as the stored one, the folders are
     swapped by the recorded steps of `swap_folders`. What an earlier call left half done
     is completed first. ``interrupt(step)`` is called behind staging.
     """
@@ -97,15 +109,15 @@ def compact(
     if chosen.isEmpty():
         return chosen
     work = f"{location}/_compact"
-    stored = spark.read.parquet(location)
+    stored, folders = spark.read.parquet(location), layout(spark, location)
     rows = only_partitions(stored, chosen, tuple(columns))
-    write_partitions(rows, f"{work}/staged", tuple(columns))
-    kept, made = (frame.groupBy(*columns).count() for frame in (rows, spark.read.schema(stored.schema).parquet(f"{work}/staged")))
+    write_partitions(rows, f"{work}/staged", tuple(folders))
+    kept, made = (frame.groupBy(*folders).count() for frame in (rows, spark.read.schema(stored.schema).parquet(f"{work}/staged")))
     lost = kept.exceptAll(made).limit(1).count() + made.exceptAll(kept).limit(1).count()
     if lost:
         remove(spark, work)
         raise RuntimeError(f"compaction of {location} would lose or repeat rows; nothing was changed")
-    pairs = _folders(spark, f"{work}/staged", columns).select(
+    pairs = _folders(spark, f"{work}/staged", folders).select(
         F.col("path").alias("staged"),
         F.replace("path", F.lit("/_compact/staged/"), F.lit("/")).alias("live"),
         F.replace("path", F.lit("/_compact/staged/"), F.lit("/_compact/aside/")).alias("aside"),
@@ -160,19 +172,35 @@ def maintain(
     )
 
 
-def maintain_platform(spark: SparkSession, root: str, as_of: datetime | str, apply: bool = False) -> DataFrame:
+def maintain_platform(
+    spark: SparkSession,
+    root: str,
+    as_of: datetime | str,
+    apply: bool = False,
+    retention_days: dict[str, int] | None = None,
+    max_objects: dict[str, int] | None = None,
+) -> DataFrame:
     """All five datasets in policy order; zones that hold nothing are skipped."""
-    reports = []
+    reports = [
+        maintain(spark, f"{root}/{folder}", dataset, as_of, apply, (retention_days or {}).get(dataset), (max_objects or {}).get(dataset))
+        for dataset, (folder, *_rest) in MAINTENANCE_POLICY.items()
+        if exists(spark, f"{root}/{folder}")
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def zone_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset, records, crowded): rows of each stored zone, and its folders with more than one object."""
+    found = []
     for dataset, (folder, *_rest) in MAINTENANCE_POLICY.items():
-        try:
-            reports.append(maintain(spark, f"{root}/{folder}", dataset, as_of, apply))
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    combined = reports[0]
-    for report in reports[1:]:
-        combined = combined.unionByName(report)
-    return combined
+        location = f"{root}/{folder}"
+        if not exists(spark, location):
+            continue
+        per_folder = inventory(spark, location).groupBy(F.regexp_replace("path", "/[^/]*$", "")).agg(F.count(F.lit(1)).alias("n"))
+        crowded = per_folder.agg(F.count_if(F.col("n") > 1).alias("crowded"))
+        rows = spark.read.parquet(location).agg(F.count(F.lit(1)).alias("records"))
+        found.append(rows.select(F.lit(dataset).alias("dataset"), "records", crowded.scalar().alias("crowded")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def platform_totals(reports: DataFrame) -> DataFrame:

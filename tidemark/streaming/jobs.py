@@ -30,6 +30,8 @@ from tidemark.streaming.current import CHANGES, STATE_CONF, changes, metrics_of
 from tidemark.streaming.records import RECORD_SCHEMA, decode
 
 FILES_PER_BATCH = 10
+#: Messages that are handled together, the delivery unit of a queue.
+MESSAGES = 10
 
 
 def record_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
@@ -46,13 +48,19 @@ def record_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_P
 
 
 def message_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Queue messages, one text line each, a few files per batch."""
-    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path).select(
-        F.col("value").alias("raw"),
+    """Queue messages, one text line each, numbered within their file.
+
+    Ten messages at a time are one `invocation` (source_key and number), whatever the
+    number of files; a micro-batch runs many of them side by side. A file is read whole,
+    so those who fill the queue bound its messages, as with `maxRecordsPerFile`.
+    """
+    reader = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch)
+    files = reader.load(path).select(
+        F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("position", "raw"),
         F.col("_metadata.file_path").alias("source_key"),
         F.col("_metadata.file_modification_time").alias("landed_at"),
     )
+    return files.withColumn("invocation", F.floor(F.col("position") / MESSAGES).cast("bigint"))
 
 
 def _start(writer, trigger: dict) -> StreamingQuery:
@@ -71,20 +79,31 @@ def deliver_bronze(bronze: DataFrame, path: str, checkpoint: str, trigger: dict
 def drain_messages(
     messages: DataFrame, refs_path: str, dlq_root: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Flatten notifications; messages that cannot be decoded go to the dead letters."""
+    """Flatten notifications; messages that cannot be decoded go to the dead letters.
+
+    One that fails keeps no other of its invocation back. The counts of every invocation
+    are stored beside the references, in `<refs_path>-invocations`.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             refs = extract_refs(batch).withColumn("batch", F.lit(batch_id))
             sinks.write_partitions(refs, refs_path, ("batch",), rebalance=False)
-            poison = undecodable(batch, keep=("source_key", "landed_at")).select(
-                F.sha2(F.concat_ws("|", "source_key", "raw"), 256).alias("message_id"),
+            failed = undecodable(batch, keep=("source_key", "landed_at", "invocation", "position"))
+            poison = failed.select(
+                F.sha2(F.concat_ws("|", "source_key", "position", "raw"), 256).alias("message_id"),
                 F.col("raw").alias("body"),
                 F.lit(1).cast("bigint").alias("receive_count"),
                 F.col("landed_at").alias("enqueued_at"),
             )
             deadletter.append(poison, dlq_root, f"stream-{batch_id}")
+            unit = ("source_key", "invocation")
+            sizes = batch.groupBy(*unit).agg(F.count(F.lit(1)).alias("messages"))
+            lost = failed.groupBy(*unit).agg(F.count(F.lit(1)).alias("failed"))
+            counts = sizes.join(lost, list(unit), "left").select(*unit, "messages", F.coalesce("failed", F.lit(0)).alias("failed"))
+            folder = f"{refs_path.rstrip('/')}-invocations/batch={batch_id}"
+            counts.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
         finally:
             batch.unpersist()
 
