@@ -269,3 +269,13 @@ def test_fingerprints_against_plain_computation(spark, documents, texts):
             filled = [(x, y) for x, y in zip(a, other, strict=True) if (x, y) != ("-", "-")]
             assert near == (sum(x == y for x, y in filled) / len(filled) if filled else 1.0)
         assert (row["fingerprint"] == got[following]["fingerprint"]) == (words[i] == words[following])
+
+
+def test_sketch_cells_are_spread_and_grow_with_the_texts(spark):
+    h = np.random.default_rng(1).integers(0, 1 << 63, 60_000, dtype=np.uint64)
+    for cells in substrings._cells(np.unique(substrings.window_keys(h, 50)), 16):
+        assert abs((cells < 1 << 13).mean() - 1 / 8) < 0.02
+    small, large = (spark.createDataFrame([("x" * n,)], "text STRING") for n in (100, 64_000_000))
+    assert substrings.sketch_bits(small) == substrings.LEAST_BITS
+    assert substrings.sketch_bits(large) == 23
+    assert substrings.sketch_bits(small.limit(0)) == substrings.LEAST_BITS

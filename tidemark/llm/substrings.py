@@ -7,8 +7,8 @@ neighbouring windows mostly share too, so a document adds few keys, each once; t
 estimate of a window is never below the number of documents that have it. Second
 pass: only windows estimated to be in two documents or more are grouped, exactly, by
 a 96-bit hash of their words. The cells that hold two or more reach the tasks as two
-bitmaps whose size is a fixed parameter; when they fill up, more windows are grouped,
-and none is lost.
+bitmaps. Their size follows from the counted bytes of the texts, up to a documented most;
+beyond that they fill up, more windows are grouped, and none is lost.
 
 Documents with equal words are grouped before their windows are: those after the first
 lose all words that a window covers, which is all of them.
@@ -36,8 +36,11 @@ from tidemark.session import materialize
 WINDOW_WORDS = 50
 #: Words of the runs whose smallest hash is a window's key.
 RUN_WORDS = 24
-#: log2 of the cells in each of the sketch's two rows; the bitmaps take 2^(bits - 2) bytes.
-SKETCH_BITS = 27
+#: Least and most of log2 of the cells in each of the sketch's two rows; the bitmaps take 2^(bits - 2)
+#: bytes, so at most 128 MB at the driver and in every worker.
+LEAST_BITS, MOST_BITS = 20, 29
+#: Bytes of text for one key, about: 14 windows of six-byte words share one. Cells for each key.
+BYTES_PER_KEY, CELLS_PER_KEY = 84, 8
 #: Cells of one of Spark's bitmaps, which have 4096 bytes.
 _SEGMENT_BITS = 15
 
@@ -75,8 +78,16 @@ def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    # Keys are smallest hashes, so their high bits are mostly zero until mixed anew.
     mask = np.uint64((1 << bits) - 1)
-    return (keys & mask).astype(np.int64), (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return (keys & mask).astype(np.int64), (wordhash.mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """Width of the sketch for the texts of a table, from their counted bytes."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    cells = CELLS_PER_KEY * size // BYTES_PER_KEY
+    return min(max(int(cells).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def sketch(docs: DataFrame, *, window: int, bits: int) -> DataFrame:
@@ -98,7 +109,7 @@ def sketch(docs: DataFrame, *, window: int, bits: int) -> DataFrame:
 def repeated_cells(merged: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of the cells with two or more, the lowest bit of a byte first.
 
-    Its size is fixed by `bits`, whatever the input.
+    Its size is fixed by `bits`.
     """
     segment = F.shiftrightunsigned("cell", _SEGMENT_BITS).alias("segment")
     low = F.col("cell").bitwiseAND(F.lit((1 << _SEGMENT_BITS) - 1))
@@ -234,7 +245,7 @@ def remove_repeats(
     docs: DataFrame,
     *,
     window: int = WINDOW_WORDS,
-    bits: int = SKETCH_BITS,
+    bits: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: list[str] | None = None,
@@ -242,13 +253,14 @@ def remove_repeats(
     """(doc_id, n_words, n_removed, text, carried): every row without the words of earlier windows.
 
     A row that loses nothing keeps its text as it is, null included. `carried` holds the
-    columns `keep`.
+    columns `keep`. `bits` sets the width of the sketch, else it follows from the texts.
     """
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         carry.packed(docs, keep or []),
     )
+    bits = sketch_bits(docs) if bits is None else bits
     bitmap = repeated_cells(sketch(docs, window=window, bits=bits), bits)
     marked = mark_candidates(docs, bitmap, window=window, bits=bits)
     # Marked twice: most texts have no candidate, and storing them would cost more.
