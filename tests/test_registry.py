@@ -9,7 +9,12 @@ import pytest
 from tidemark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ("gold_daily", "quality_checks", "gold_reject", "run_keys", "manifest_keys", "path_ratios", "notification_refs")
+CHECKED = (
+    "gold_daily", "quality_checks", "gold_reject", "run_keys", "manifest_keys", "path_ratios", "notification_refs",
+    "run_completion", "run_lookup", "trigger_settings", "key_parts", "names_drift", "quarantine_sink", "gold_rejects_merged",
+    "zone_partitions", "seeded_zone", "closed_batch", "reprocess_window", "reprocess_offsets", "busy_day_events",
+    "late_refunds", "freshness_sources", "stream_produce",
+)
 
 
 def test_every_query_has_its_sql():

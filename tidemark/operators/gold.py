@@ -115,7 +115,3 @@ def merge_metrics(parts: DataFrame, keys: tuple[str, ...] = ("event_type", "dt")
         F.round(F.coalesce(F.sum(_double(parts, "amount_usd")), F.lit(0.0)), 4).alias("amount_usd"),
         F.count(F.lit(1)).alias("compacted_from"),
     )
-
-
-def purchase_revenue(gold: DataFrame) -> DataFrame:
-    return gold.filter(F.col("event_type") == "purchase").select("dt", "events", F.col("amount_usd").alias("gmv_usd"))

@@ -660,10 +660,12 @@ def zone_inventory(spark, sf):
     "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS records FROM cleansed GROUP BY 1",
 )
 def json_landing(spark, sf):
-    """Bronze landed as JSON lines by day and read back tolerantly."""
+    """Bronze landed as JSON lines by day, one batch of it twice, and read back tolerantly."""
     path = scratch_path(spark, "bronze-json")
     landed = feed.bronze(spark, sf).withColumn("dt", _landing_day())
-    sinks.write_bronze(landed, path, "text")
+    early = F.col("dt") <= "2024-01-10"
+    for batch, rows in (("1", landed.filter(early)), ("2", landed.filter(~early)), ("1", landed.filter(early))):
+        sinks.write_bronze(rows, path, "text", batch)
     rows = C.inspect(objects.read_json_lines(spark, path, "*.txt"), keep=(), gate=False)
     return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("records"))
 

@@ -17,25 +17,6 @@ EVENT_TYPE_LABELS = {
     "refund": "Refund",
 }
 
-SILVER_REASONS = (
-    "empty_record",
-    "missing_event_id",
-    "unknown_event_type",
-    "non_numeric_measures",
-    "non_positive_quantity",
-    "negative_amount",
-    "schema_invalid",
-)
-
-GOLD_REASONS = (
-    "missing_dt",
-    "unknown_event_type",
-    "non_positive_events",
-    "negative_amount",
-    "non_numeric_measures",
-    "unreadable_silver",
-)
-
 QUALITY_CHECKS = (
     "event_id_present",
     "known_event_type",
@@ -47,22 +28,11 @@ QUALITY_CHECKS = (
 DEFAULT_COUNTRY = "US"
 DEFAULT_LOOKBACK_DAYS = 2
 SUCCESS_STATUSES = ("succeeded",)
+# Statuses, zones and steps of a run.
 RUN_STATUSES = ("pending", "running", "succeeded", "failed", "quality_failed")
 RUN_ZONES = ("bronze", "silver", "gold")
 RUN_STEPS = ("ingest", "silver", "quality", "gold", "pipeline", "reprocess")
 
-# Spark type of each contract type; partition keys are always strings.
-CONTRACT_TYPES = {
-    "string": T.StringType(),
-    "integer": T.LongType(),
-    "number": T.DoubleType(),
-    "boolean": T.BooleanType(),
-    "datetime": T.TimestampType(),
-    "date": T.DateType(),
-    "json-string": T.StringType(),
-    "object": T.StringType(),
-}
-
 # A type may change to one of these without breaking readers.
 TYPE_WIDENS_TO = {
     "integer": ("number",),

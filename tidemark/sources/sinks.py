@@ -33,12 +33,20 @@ def append_partitions(df: DataFrame, path: str, columns: tuple[str, ...]) -> Non
     df.hint("rebalance", *columns).write.mode("append").partitionBy(*columns).parquet(path)
 
 
-def write_bronze(bronze: DataFrame, path: str, format: str = "parquet") -> None:
-    """Raw text by day. With format 'text', newline-delimited JSON."""
+def write_bronze(bronze: DataFrame, path: str, format: str = "parquet", batch: str | None = None) -> None:
+    """Raw text by day. With format 'text', newline-delimited JSON.
+
+    A named batch replaces itself, so a retry adds nothing; without a name rows are appended.
+    """
+    columns = ("dt",) if batch is None else ("dt", "batch")
+    rows = bronze if batch is None else bronze.withColumn("batch", F.lit(batch))
     if format == "text":
-        bronze.select("raw", "dt").hint("rebalance", "dt").write.mode("append").partitionBy("dt").text(path)
-        return
-    append_partitions(bronze, path, ("dt",))
+        rows = rows.select("raw", *columns)
+    writer = rows.hint("rebalance", *columns).write.format(format).partitionBy(*columns)
+    if batch is None:
+        writer.mode("append").save(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
 
 
 def write_silver(accepted: DataFrame, path: str, order: tuple[str, ...] = ("landed_at",)) -> None:
