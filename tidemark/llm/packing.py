@@ -64,11 +64,14 @@ class _WordIds(dict):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _stays_letters(self, word: str) -> bool:
+        return max(word) <= "\xff" or self.tokenizer.normalizer.normalize_str(word).isalpha()
+
     def __missing__(self, word: str) -> bytes:
         # Letters and closing marks are split by the tokenizer, so they are kept apart. Some letters
         # are taken apart by its normalisation and end in a mark, which goes with those that follow.
         parts = _TAIL.match(word)
-        if parts and parts[1].isalpha() and self.tokenizer.normalizer.normalize_str(parts[1]).isalpha():
+        if parts and parts[1].isalpha() and self._stays_letters(parts[1]):
             found = self[parts[1]] + self[parts[2]]
         elif word.isascii() and word != word.lower() and "<|" not in word:
             found = self[word.lower()]
