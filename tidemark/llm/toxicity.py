@@ -107,7 +107,7 @@ def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for text in texts:
         found = wordhash.words(text, lower=True)
         ids = np.array([index.setdefault(w, len(index)) for w in found], np.int64)
-        rows.append(np.unique(ids, return_counts=True))
+        rows.append(tuple(part.astype(np.int32) for part in np.unique(ids, return_counts=True)))
     names = list(index)
     del index
     parts = [ngram_buckets(names[at : at + 20_000]) for at in range(0, len(names), 20_000)]
@@ -158,8 +158,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         order = draw.permutation(len(y))
         for first in range(0, len(order), BATCH_ROWS):
             batch = order[first : first + BATCH_ROWS]
-            at = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in batch])
-            row = np.repeat(np.arange(len(batch)), sizes[batch])
+            at = np.concatenate([np.arange(ends[i] - sizes[i], ends[i], dtype=np.int32) for i in batch])
+            row = np.repeat(np.arange(len(batch), dtype=np.int32), sizes[batch])
             column, weight = columns[at], weights[at] * GAIN
             means = np.stack(
                 [np.bincount(row, weight * vectors[column, j], len(batch)) for j in range(WIDTH)], axis=1
