@@ -14,9 +14,9 @@ all words, and so do both kinds together. A text's probability is the product ov
 its words and its end, which counts as a word.
 
 Training rows may carry a class, such as their language. Counts and piece probabilities
-are then kept for each of the commonest classes, a class's own counts being discounted
-in favour of all classes together and of its pieces, and a text's probability is the
-sum over the classes it may be of. The class of a row that is scored is not read.
+are then kept for each class of at least one in CLASS_PARTS training rows and for all
+others together, a class's own counts being discounted in favour of all classes together
+and of its pieces, and a text's probability is the sum over the classes it may be of. The class of a row that is scored is not read.
 
 Words are counted and scored as a table; nothing of the corpus is held on the driver
 but sums by piece and the words that make up at least one in HEAD_PARTS training tokens,
@@ -52,8 +52,8 @@ ROUNDS = 2
 HEAD_PARTS = 1 << 20
 #: Of what a class's counts leave, the share that its pieces get before all classes' counts.
 PIECE_SHARE = 0.8
-#: Classes that are counted apart.
-MOST_CLASSES = 8
+#: A class with at least one in CLASS_PARTS training rows is counted apart, so there are at most CLASS_PARTS.
+CLASS_PARTS = 64
 #: Share of all pieces that spells characters outside the vocabulary, by bytes.
 BYTE_SHARE = 1e-4
 #: Added to each piece's expected count, so that none becomes impossible.
@@ -383,13 +383,18 @@ def _score_common(rows: DataFrame, classes: int, head: dict[bytes, np.ndarray],
     )
 
 
-def _class_numbers(docs: DataFrame, class_col: str | None) -> tuple[Column, int]:
-    """The class of a row as a number below the count of classes; the last holds all others."""
+def _class_numbers(docs: DataFrame, held_out: Column, class_col: str | None) -> tuple[Column, int]:
+    """The class of a row as a number below the count of classes; the last holds all others.
+
+    Classes are counted over training rows.
+    """
     if class_col is None:
         return F.lit(0), 1
     label = F.col(class_col).cast("string")
-    common = docs.groupBy(label.alias("label")).count().filter("label IS NOT NULL")
-    common = [r["label"] for r in common.orderBy(F.desc("count"), "label").limit(MOST_CLASSES).collect()]
+    counts = docs.filter(~F.coalesce(held_out, F.lit(False))).groupBy(label.alias("label")).count()
+    least = counts.agg((F.sum("count") / CLASS_PARTS).alias("n")).first()["n"] or 0
+    common = counts.filter(F.col("label").isNotNull() & (F.col("count") >= least))
+    common = [r["label"] for r in common.orderBy(F.desc("count"), "label").collect()]  # at most CLASS_PARTS
     number = F.lit(len(common))
     for i, name in enumerate(common):
         number = F.when(label == name, i).otherwise(number)
@@ -411,7 +416,7 @@ def score_documents(
     `score` is the log10 probability of the text's lattice, `base_score` that of counted
     words with half a count added.
     """
-    kind, classes = _class_numbers(docs, class_col)
+    kind, classes = _class_numbers(docs, held_out, class_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
