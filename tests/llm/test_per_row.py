@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -261,3 +262,41 @@ def test_ids_around_every_letter_and_cut():
         for text in (f"{char}.", f"a{char}?!", f"{char}b, x"):
             got = np.frombuffer(packing.encode_text(text, words, 2), "<u4")[:-1].tolist()
             assert got == tokenizer.encode(text, add_special_tokens=False).ids, (hex(code), text)
+
+
+ARTICLE = "<p>The quick brown fox jumps over the lazy dog, and the dog does not mind at all.</p>" * 6
+ARTICLE_TEXT = "\n".join(["The quick brown fox jumps over the lazy dog, and the dog does not mind at all."] * 6)
+
+
+@pytest.mark.parametrize(
+    ("page", "more"),
+    [
+        (f'<div class="layout has-sidebar"><article>{ARTICLE}</article><div class="sidebar"><p>Other news.</p></div></div>', ""),
+        (f'<body><article id="page-header-article">{ARTICLE}</article></body>', ""),
+        (f'<article>{ARTICLE}<p class="share-price">A share rose by two percent today.</p></article>', "A share rose by two percent today."),
+        (f'<article>{ARTICLE}<ul class="tags-list"><li>Its first point is this one.</li></ul></article>', "Its first point is this one."),
+        (f'<article>{ARTICLE}<div class="share-buttons"><p>Share this story now.</p></div></article>', ""),
+        (f'<form id="all"><div>{ARTICLE}</div><div class="comments"><p>I like it.</p></div></form>', ""),
+        (f'<div class="nav"><div>{ARTICLE}</div></div><footer>All rights reserved.</footer>', ""),
+        (f'<div>{ARTICLE}</div><div class="comment-list"><article class="comment"><p>I like it very much.</p></article></div>', ""),
+        (f'<article>{ARTICLE}</article><section class="related"><article><p>Read this as well, please.</p></article></section>', ""),
+    ],
+)
+def test_names_count_only_for_parts_of_the_page(page, more):
+    assert mincut.main_text(page) == "\n".join(x for x in (ARTICLE_TEXT, more) if x)
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a b=">"', "<div>", "<p a='", "<!--", "<svg>", "</p><div>", '<a "', "<script", "</script", "<"])
+def test_broken_pages_take_time_in_proportion(bad):
+    started = time.perf_counter()
+    mincut.main_text(bad * (400_000 // len(bad)))
+    assert time.perf_counter() - started < 10
+
+
+def test_classes_are_counted_over_training_rows(spark):
+    rows = [(i, f"c{i % 20}" if i < 400 else "held") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, lang STRING")
+    number, classes = lattice._class_numbers(docs, F.col("doc_id") >= 400, "lang")
+    got = docs.select("lang", number.alias("n")).distinct().collect()
+    assert classes == 21 and len({r["n"] for r in got}) == 21
+    assert [r["n"] for r in got if r["lang"] == "held"] == [20]

@@ -3,15 +3,21 @@
 A page is cut into blocks, the stretches of text between block-level tags. A linear
 classifier over a block's length, links, marks and surrounding elements says how much
 it costs to call it boilerplate or content; these costs are the capacities from the
-source and to the sink. Neighbours in the page, siblings and blocks of one section are
+source and to the sink. What an element's tag, role or name says of boilerplate counts
+only if the element is a part of the page: not if it holds most words of the principal
+element, which is the largest article, or else main, or else the page. A name of several
+words speaks by its last one (share-price is a price), or by its first one if the rest
+only says what kind of box it is (share-buttons). Neighbours in the page, siblings and blocks of one section are
 joined by edges that it costs to cut. The minimum cut, found by maximum flow, is
 the labelling of least total cost, and the source's side is the main text.
 
 Each page is parsed and cut on its own inside a task, in batches; nothing is shuffled.
+Parsing takes time in proportion to the page, however broken it is.
 
 Defined results: a null or empty page, or one without content, has an empty text; a tag or
 character reference cut off at the end of the page is dropped or kept as written; tags
-that are never closed end with the element around them; page ids are carried as they
+that are never closed end with the element around them; a quotation mark of an attribute
+that is never closed means nothing; page ids are carried as they
 are, null or repeated; an empty table gives an empty result; further columns of the
 input are not read.
 """
@@ -20,7 +26,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,9 +51,17 @@ SIDE_NAMES = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline captcha comment "
     "comments commentlist consent cookie cookies copyright disqus footer form gdpr header login masthead menu modal "
     "nav navbar navigation newsletter notice notices pagination paywall popup promo promos promotion recommended "
-    "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar "
+    "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget widgets".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
+BOX_WORDS = frozenset(
+    "area bar block body box button buttons container content form group holder inner item items link links list "
+    "outer panel region row section slot text unit wrap wrapper".split()
+)
+#: Elements whose text is not read as text; of the first a missing end is the page's end.
+RAW_TAGS = frozenset("script style template textarea".split())
+SKIPPED_TAGS = RAW_TAGS | frozenset("noscript svg math select button iframe object canvas video audio".split())
 
 #: Weights of the classifier, in units of cost; above zero speaks for content.
 WEIGHTS = {
@@ -64,18 +78,16 @@ WEIGHTS = {
     "list item": -0.5,
 }
 MOST_WORDS = 40
+#: Share of the page's words from which on an article is the principal element.
+PRINCIPAL_SHARE = 0.25
+#: Share of the principal element's words above which an element is no side part.
+WHOLE_SHARE = 0.75
 #: Cost of giving two labels to neighbours, to siblings, and to blocks of one section.
 EDGES = {"neighbours": 0.2, "siblings": 0.8, "section": 0.4}
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|math|select|textarea|button|iframe|object|canvas|video|audio)\b"
-    r".*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*\Z",
-    re.DOTALL | re.IGNORECASE,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in SKIPPED_TAGS}
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -84,16 +96,19 @@ _CLOSING = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
 
 @dataclass(slots=True)
 class Element:
-    """An open block-level element; what its ancestors say is carried down."""
+    """A block-level element; `settle` carries down what its ancestors say."""
 
     tag: str
     number: int
-    section: int
+    around: Element | None = None
+    section: int = 0
     side: bool = False
     named_side: bool = False
+    comments: bool = False
     content: bool = False
     named_content: bool = False
     header: bool = False
+    words: int = 0
 
 
 @dataclass(slots=True)
@@ -104,20 +119,22 @@ class Block:
     text: str = ""
 
 
+def side_name(name: str) -> bool:
+    """Whether one class or id names a side part of a page."""
+    words = [w for w in _WORDS.findall(name) if not w.isdigit()]
+    if not words or words[0] in ("has", "with", "no"):
+        return False
+    if words[-1] in SIDE_NAMES:
+        # The header of a post holds its title.
+        return words[-1] != "header" or CONTENT_NAMES.isdisjoint(words)
+    return words[0] in SIDE_NAMES and all(w in BOX_WORDS or w in SIDE_NAMES for w in words[1:])
+
+
 def _open(tag: str, attributes: str, around: Element, number: int) -> Element:
-    made = Element(
-        tag,
-        number,
-        number if tag in SECTION_TAGS else around.section,
-        around.side,
-        around.named_side,
-        around.content,
-        around.named_content,
-        around.header,
-    )
-    made.content |= tag in CONTENT_TAGS
-    made.side |= tag in SIDE_TAGS
-    made.header |= tag == "header" and not made.content
+    made = Element(tag, number, around, number if tag in SECTION_TAGS else around.section)
+    made.content = tag in CONTENT_TAGS
+    made.side = tag in SIDE_TAGS
+    made.header = tag == "header"
     if attributes.strip(" /"):
         for name, a, b, c in _NAMES.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
@@ -125,11 +142,12 @@ def _open(tag: str, attributes: str, around: Element, number: int) -> Element:
                 made.side |= value in SIDE_ROLES
                 made.content |= value in CONTENT_TAGS
             elif name in ("class", "id"):
-                words = set(_WORDS.findall(value))
                 # The names of the page's outermost elements speak of the site, not of a part.
                 if tag not in ("html", "body"):
-                    made.named_side |= not words.isdisjoint(SIDE_NAMES)
-                    made.named_content |= not words.isdisjoint(CONTENT_NAMES)
+                    sides = [x for x in value.split() if side_name(x)]
+                    made.named_side |= bool(sides)
+                    made.comments |= any(not COMMENT_NAMES.isdisjoint(_WORDS.findall(x)) for x in sides)
+                    made.named_content |= not CONTENT_NAMES.isdisjoint(_WORDS.findall(value))
             elif name == "style":
                 made.side |= "display:none" in value.replace(" ", "")
             else:
@@ -137,11 +155,94 @@ def _open(tag: str, attributes: str, around: Element, number: int) -> Element:
     return made
 
 
+def settle(elements: list[Element], found: list[Block]) -> None:
+    """Hands down what elements say of their blocks, unless they hold the principal element."""
+    for block in found:
+        block.parent.words += block.text.count(" ") + 1
+    for e in reversed(elements[1:]):  # children after parents
+        e.around.words += e.words
+    whole = elements[0].words
+    articles = [e for e in elements if e.content and not e.named_side and e.tag != "main"]
+    articles = [e for e in articles if e.words >= PRINCIPAL_SHARE * whole]
+    mains = [e for e in elements if e.tag == "main" and not e.named_side]
+    principal = max(articles or mains or elements[:1], key=lambda e: e.words)
+    holders, at = set(), principal
+    while at is not None:
+        holders.add(at.number)
+        at = at.around
+    inside = set()
+    for e in elements:
+        around = e.around
+        if e is principal or (around is not None and around.number in inside):
+            inside.add(e.number)
+        holds = e.number in holders or (e.number in inside and e.words > WHOLE_SHARE * principal.words)
+        if holds and not e.comments:
+            e.side = e.named_side = e.header = False
+        if around is not None:
+            e.content |= around.content
+            e.header = around.header or (e.header and not e.content)
+            e.side |= around.side
+            e.named_side |= around.named_side
+            e.named_content |= around.named_content
+
+
+def marks_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag, closing, attributes) of the page's markup; no tag where text is left out.
+
+    A tag called " " stands for a blank.
+    """
+    last = {mark: page.rfind(mark) for mark in "<>\"'"}
+    unended: set[str] = set()
+    quotes = True
+    at = page.find("<")
+    while at >= 0:
+        end, tag, closing, attributes = at + 1, None, False, ""
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            end, tag = len(page) if close < 0 else close + 3, ""
+        elif page.startswith(("<!", "<?"), at):
+            close = page.find(">", at)
+            end, tag = len(page) if close < 0 else close + 1, ""
+        elif match := _TAG.match(page, at):
+            name, closing = match[2].lower(), bool(match[1])
+            close = None
+            if name in SKIPPED_TAGS and not closing and name not in unended:
+                close = _ENDS[name].search(page, match.end())
+                if close is None:
+                    unended.add(name)
+            if close is not None:
+                end, tag = close.end(), " "
+            elif name in RAW_TAGS and not closing:
+                end, tag = len(page), ""
+            elif last[">"] > at:
+                end, quotes = _tag_end(page, match.end(), last, quotes)
+                tag, attributes = name, page[match.end() : end - 1]
+            elif last["<"] == at:
+                end, tag = len(page), ""
+        if tag is not None:
+            yield at, end, tag, closing, attributes
+        at = page.find("<", end)
+
+
+def _tag_end(page: str, begin: int, last: dict[str, int], quotes: bool) -> tuple[int, bool]:
+    """Where a tag ends, and whether quotation marks can still be trusted to close."""
+    at = begin
+    while quotes and (stop := _STOP.search(page, at)):
+        mark = stop[0]
+        if mark == ">":
+            return stop.end(), True
+        at = stop.end()
+        if stop.start() < last[mark]:
+            at = page.find(mark, at) + 1
+    return page.find(">", begin) + 1, False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with their texts."""
-    root = Element("", 0, 0)
-    stack, current, found = [root], Block(root), []
-    number, links, at = 0, 0, 0
+    root = Element("", 0)
+    elements, stack, current, found = [root], [root], Block(root), []
+    opened: Counter[str] = Counter()
+    links, at = 0, 0
 
     def add(text: str) -> None:
         if text:
@@ -157,39 +258,41 @@ def blocks_of(page: str) -> list[Block]:
             found.append(current)
         current = Block(stack[-1])
 
-    for match in _MARKUP.finditer(page):
-        add(page[at : match.start()])
-        at = match.end()
-        tag = (match[3] or "").lower()
-        if not tag:
-            if match[1]:
-                add(" ")
-            continue
-        closing = match[2] == "/"
-        if tag == "a":
-            links = 0 if closing else 1
-        elif tag == "br":
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
+    for begin, after, tag, closing, attributes in marks_of(page):
+        add(page[at:begin])
+        at = after
+        if tag == " " or tag == "br":
             add(" ")
+        elif tag == "a":
+            links = 0 if closing else 1
         elif tag in BLOCK_TAGS:
             if closing:
-                if any(e.tag == tag for e in stack[1:]):
-                    while stack.pop().tag != tag:
+                if opened[tag]:
+                    while close() != tag:
                         pass
             else:
                 # A paragraph or item ends where the next block or item begins.
                 if stack[-1].tag == "p" or stack[-1].tag in HEADINGS:
-                    stack.pop()
+                    close()
                 if tag in ("li", "tr", "td", "th", "dt", "dd") and stack[-1].tag == tag:
-                    stack.pop()
+                    close()
                 if tag == "body" and stack[-1].tag == "head":
-                    stack.pop()
-                number += 1
+                    close()
                 if tag not in VOID_BLOCKS:
-                    stack.append(_open(tag, match[4], stack[-1], number))
+                    made = _open(tag, attributes, stack[-1], len(elements))
+                    elements.append(made)
+                    stack.append(made)
+                    opened[tag] += 1
             links = 0
             end()
     add(page[at:])
     end()
+    settle(elements, found)
     return found
 
 
