@@ -519,7 +519,7 @@ def flattened_events(spark, sf):
 
 @report(
     "seed_events",
-    """SELECT 'evt-0042-' || lpad(CAST(i AS VARCHAR), 6, '0') AS event_id,
+    """SELECT 'evt-0042-' || lpad(CAST(i AS VARCHAR), CAST(greatest(length(CAST(i AS VARCHAR)), 6) AS INTEGER), '0') AS event_id,
               strftime(TIMESTAMP '2026-01-01 00:00:00' + to_minutes(i), '%Y-%m-%d %H:%M:%S') AS event_ts,
               list_extract(['page_view', 'add_to_cart', 'purchase', 'refund'], CAST(n % 4 + 1 AS INTEGER)) AS event_type,
               'user-' || lpad(CAST((n // 7) % 50 AS VARCHAR), 3, '0') AS user_id,
