@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import re
+
 ORACLE_CTES = """
 bronze AS (
   SELECT event_id AS n, ts,
@@ -62,3 +64,12 @@ def with_ctes(select: str, more: str = "") -> str:
     """A full query: the shared definitions, more of them, then the select."""
     extra = f",\n{more}" if more else ""
     return f"WITH {ORACLE_CTES.strip()}{extra}\n{select.strip()}"
+
+
+def whole_numbers(sql: str) -> str:
+    """The SQL with padded numbers kept whole, as in the feed: lpad alone cuts those that are longer."""
+    return re.sub(
+        r"lpad\((CAST\(\w+ AS VARCHAR\)), (\d+), '0'\)",
+        r"lpad(\1, CAST(greatest(length(\1), \2) AS INTEGER), '0')",
+        sql,
+    )

@@ -17,7 +17,7 @@ from tidemark.operators import late as L
 from tidemark.operators import partitions as PT
 from tidemark.operators import quality as Q
 from tidemark.plans import feed, flow, kpis, views
-from tidemark.plans.oracle import with_ctes
+from tidemark.plans.oracle import whole_numbers, with_ctes
 from tidemark.schemas import BRONZE_CONTRACT, EVENT_TYPES, SILVER_SCHEMA
 from tidemark.session import configure, materialize, scratch_path
 from tidemark.sources import sinks
@@ -77,10 +77,16 @@ def silver_quarantine_by_reason(spark, sf):
 
 @report(
     "silver_conform",
-    """SELECT event_id, strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS event_ts, event_type, user_id, sku, quantity,
-              amount_usd, country, dt FROM silver""",
+    whole_numbers(
+        with_ctes(
+            """SELECT event_id, strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS event_ts, event_type, user_id, sku, quantity,
+              amount_usd + 0.0 AS amount_usd, country, dt FROM silver"""
+        )
+    ),
+    raw_sql=True,
 )
 def silver_conform(spark, sf):
+    """Conformed rows. A JSON number is read as a decimal, so a zero amount has no sign."""
     rows = feed.silver(spark, sf)
     return rows.select(
         "event_id", _stamp("event_ts").alias("event_ts"), "event_type", "user_id", "sku", "quantity", "amount_usd",
