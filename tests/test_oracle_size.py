@@ -13,7 +13,7 @@ ROWS = """(103, TIMESTAMP '2024-01-01 00:00:11.17', 235, 'purchase', 0.0, '{"k":
           (123456789, TIMESTAMP '2024-01-03 00:00:11.17', 89999, 'signup', 12.25, '{"k": 76}')"""
 
 
-@pytest.mark.parametrize("name", ["seed_events", "silver_conform"])
+@pytest.mark.parametrize("name", ["seed_events", "silver_conform", "encode_decode"])
 def test_query_equals_its_sql_on_large_keys(spark, tmp_root, name):
     con = pytest.importorskip("duckdb").connect()
     con.execute(

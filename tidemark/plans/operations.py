@@ -21,6 +21,7 @@ from tidemark.operators import partitions as PT
 from tidemark.operators import quality as Q
 from tidemark.operators import runs as R
 from tidemark.plans import feed, flow, upkeep
+from tidemark.plans.oracle import whole_numbers, with_ctes
 from tidemark.plans.reports import QUALITY_TALLY_SQL, _framed_sql, report
 from tidemark.schemas import BRONZE_SCHEMA, GOLD_CONTRACT, SILVER_SCHEMA
 from tidemark.session import materialize, scratch_path
@@ -614,13 +615,19 @@ def dlq_preview(spark, sf):
 
 @report(
     "encode_decode",
-    """SELECT user_id AS key, event_id, amount_usd,
+    whole_numbers(
+        with_ctes(
+            """SELECT user_id AS key, event_id, amount_usd + 0.0 AS amount_usd,
               CAST(octet_length(encode('{"event_id":"' || event_id || '","event_ts":"' || strftime(event_ts, '%Y-%m-%dT%H:%M:%S')
-                || 'Z","event_type":"' || event_type || '","user_id":"' || user_id || '","amount_usd":' || CAST(amount_usd AS VARCHAR)
+                || 'Z","event_type":"' || event_type || '","user_id":"' || user_id || '","amount_usd":' || CAST(amount_usd + 0.0 AS VARCHAR)
                 || '}')) AS BIGINT) AS bytes
-       FROM silver""",
+       FROM silver"""
+        )
+    ),
+    raw_sql=True,
 )
 def encode_decode(spark, sf):
+    """Records of Silver rows, encoded and decoded. A zero amount has no sign, as in `silver_conform`."""
     rows = feed.silver(spark, sf).select("event_id", "event_ts", "event_type", "user_id", "amount_usd")
     sent = records.encode(rows, newline=True)
     text = records.decode(F.col("data"))
