@@ -85,3 +85,22 @@ def test_calls_to_the_state_are_by_chunk(monkeypatch):
     assert found["fresh"].sum() == found["events"].sum() == handle.made[0].values[()][1]
     assert found["overwritten"].sum() > 0 and found["unchanged"].sum() > 0
     assert max(len(value[0]) for value in handle.made[1].values.values()) < 60 * 2 * current.CHUNK
+
+
+def test_repeated_batch_is_not_parsed(spark, tmp_root, event, monkeypatch):
+    from tidemark.streaming import jobs, records
+
+    def deliver(checkpoint):
+        stream = jobs.record_stream(spark, f"{tmp_root}/source")
+        jobs.silver_stream(stream, tmp_root, f"{tmp_root}/check/{checkpoint}", "2026-01-20T00:00:00Z").awaitTermination()
+
+    rows = [event(event_id=f"e{i}", event_ts=None) for i in range(3)]
+    events = spark.createDataFrame(rows, ", ".join(f"{k} {'DOUBLE' if k == 'amount_usd' else 'BIGINT' if k == 'quantity' else 'TIMESTAMP' if k == 'event_ts' else 'STRING'}" for k in rows[0]))
+    events = events.selectExpr(*[c for c in events.columns if c != "event_ts"], "TIMESTAMP '2026-01-02 12:00:00Z' AS event_ts")
+    records.publish(events, f"{tmp_root}/source")
+    deliver("first")
+    parsed = []
+    real = jobs.C.cleanse
+    monkeypatch.setattr(jobs.C, "cleanse", lambda *a, **k: parsed.append(1) or real(*a, **k))
+    deliver("again")
+    assert not parsed and jobs.current_silver(spark, tmp_root).count() == 3

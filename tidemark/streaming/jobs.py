@@ -168,15 +168,16 @@ def silver_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         started = datetime.now(tz=timezone.utc)
         spark = batch.sparkSession
+        # By the keys alone: a batch that is left alone is not parsed.
+        identity = manifest_identity(batch, (), "source_key", "silver").first()
+        if not identity["parts"]:
+            return
+        run_id = identity["run_id"]
+        status, number = _entry(spark, f"{root}/runs", run_id)
+        if status == "succeeded":
+            return
         rows = C.cleanse(batch, watermark, lookback_days, gate=True).persist()
         try:
-            identity = manifest_identity(rows, (), "source_key", "silver").first()
-            if not identity["parts"]:
-                return
-            run_id = identity["run_id"]
-            status, number = _entry(spark, f"{root}/runs", run_id)
-            if status == "succeeded":
-                return
 
             def log(status: str, finished: datetime | None = None, **counts: int) -> None:
                 metrics = json.dumps({"batch": number, **counts})
