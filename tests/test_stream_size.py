@@ -104,3 +104,18 @@ def test_repeated_batch_is_not_parsed(spark, tmp_root, event, monkeypatch):
     monkeypatch.setattr(jobs.C, "cleanse", lambda *a, **k: parsed.append(1) or real(*a, **k))
     deliver("again")
     assert not parsed and jobs.current_silver(spark, tmp_root).count() == 3
+
+
+def test_drain_takes_files_for_all_cores(spark, tmp_root):
+    import os
+
+    from tidemark.streaming import jobs
+
+    os.makedirs(f"{tmp_root}/queue")
+    for part in range(25):
+        with open(f"{tmp_root}/queue/{part}.txt", "w") as out:
+            out.write("not json\n" * 12)
+    jobs.drain_messages(jobs.message_stream(spark, f"{tmp_root}/queue"), f"{tmp_root}/refs", f"{tmp_root}/dlq", f"{tmp_root}/check").awaitTermination()
+    units = spark.read.parquet(f"{tmp_root}/refs-invocations").collect()
+    assert {int(r["batch"]) for r in units} == {0}
+    assert sorted((r["invocation"], r["messages"], r["failed"]) for r in units) == [(0, 10, 10)] * 25 + [(1, 2, 2)] * 25

@@ -30,6 +30,8 @@ from tidemark.streaming.current import CHANGES, STATE_CONF, changes, metrics_of
 from tidemark.streaming.records import RECORD_SCHEMA, decode
 
 FILES_PER_BATCH = 10
+#: Queue files that each core gets in a batch.
+QUEUE_FILES_PER_CORE = 8
 #: Messages that are handled together, the delivery unit of a queue.
 MESSAGES = 10
 
@@ -47,13 +49,16 @@ def record_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_P
     )
 
 
-def message_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+def message_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Queue messages, one text line each, numbered within their file.
 
     Ten messages at a time are one `invocation` (source_key and number), whatever the
     number of files; a micro-batch runs many of them side by side. A file is read whole,
-    so those who fill the queue bound its messages, as with `maxRecordsPerFile`.
+    so those who fill the queue bound its messages, as with `maxRecordsPerFile`. A file is
+    one task, so a batch takes as many as keep all cores busy, unless told otherwise.
     """
+    if files_per_batch is None:
+        files_per_batch = max(FILES_PER_BATCH, QUEUE_FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     reader = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch)
     files = reader.load(path).select(
         F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("position", "raw"),
