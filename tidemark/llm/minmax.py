@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash
-from tidemark.session import materialize
+from tidemark.session import bound_batches, materialize
 
 SHINGLE_WORDS = 4
 BANDS = 40
@@ -293,6 +293,7 @@ def near_duplicates(
     `row` is row_key of the row; `class` names the set of shingles, `component` the component (null if the
     set is empty); `kept` holds where doc_id is the component's smallest.
     """
+    bound_batches(docs.sparkSession)
     row = row_key(id_col, text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     signed = materialize(signatures(docs, bands=bands, rows=rows, size=size), "minmax-signatures")

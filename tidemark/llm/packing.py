@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import bound_batches
+
 PIECE_SCHEMA = (
     "doc_id LONG, start LONG, length LONG, ids BINARY, doc_tokens LONG, sequence_id LONG, offset LONG"
 )
@@ -263,5 +265,6 @@ def pack_documents(
         if rows:
             yield table(rows)
 
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(pack, PIECE_SCHEMA)

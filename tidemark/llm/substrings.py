@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import carry, wordhash
-from tidemark.session import materialize
+from tidemark.session import bound_batches, materialize
 
 WINDOW_WORDS = 50
 #: Words of the runs whose smallest hash is a window's key.
@@ -255,6 +255,7 @@ def remove_repeats(
     A row that loses nothing keeps its text as it is, null included. `carried` holds the
     columns `keep`. `bits` sets the width of the sketch, else it follows from the texts.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),

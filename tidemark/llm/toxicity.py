@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import carry, wordhash
+from tidemark.session import bound_batches
 
 #: Labelled rows that the model is fitted on, and the longest text among them: the
 #: sample is collected, so both bound it.
@@ -196,6 +197,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int
 
 def score_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text, score, predicted, carried) of every row of (doc_id, text, carried)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

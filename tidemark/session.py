@@ -27,6 +27,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Most bytes of rows that go from Spark to Python at once. By default 10,000 rows do, whatever
+#: their size; a batch of texts is then held several times over, beside the heap.
+BATCH_BYTES_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of texts by bytes, where the session does not itself."""
+    key, most = BATCH_BYTES_CONF
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def build_session(app: str = "tidemark", **conf: str) -> SparkSession:
     """Session with the semantic settings; sizing comes from the cluster."""
     builder = SparkSession.builder.appName(app)
