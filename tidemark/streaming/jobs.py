@@ -181,7 +181,7 @@ def silver_stream(
         status, number = _entry(spark, f"{root}/runs", run_id)
         if status == "succeeded":
             return
-        rows = C.cleanse(batch, watermark, lookback_days, gate=True).persist()
+        rows = _judged(batch, watermark, lookback_days).persist()
         try:
 
             def log(status: str, finished: datetime | None = None, **counts: int) -> None:
@@ -213,6 +213,12 @@ def silver_stream(
     return _start(bronze.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
 
+def _judged(batch: DataFrame, watermark: datetime | str | None, lookback_days: int) -> DataFrame:
+    """The cleansed rows of a batch; the text is kept of those alone that go to the quarantine."""
+    rows = C.cleanse(batch, watermark, lookback_days, gate=True)
+    return rows.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
+
+
 def _entry(spark: SparkSession, path: str, run_id: str) -> tuple[str | None, int]:
     """Status of a batch in the run log, and its number: the one it has, or the next."""
     if not sinks.is_stored(spark, path):
