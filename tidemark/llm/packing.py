@@ -9,7 +9,8 @@ of the other. If a window would hold more than its capacity, the group gets one
 window more. The last group of a task keeps whole windows too: its tail is cut
 at powers of two, which need no padding.
 
-Nothing is shuffled. A task holds one group of ids at a time.
+Nothing is shuffled. A task holds one group of ids at a time, and pieces go to Spark
+in batches bounded by their bytes.
 
 Defined results: a null or empty text is the end id alone; a null or repeated
 document id is carried as it is, each row being packed on its own; an empty table
@@ -34,8 +35,10 @@ PIECE_SCHEMA = (
     "doc_id LONG, start LONG, length LONG, ids BINARY, doc_tokens LONG, sequence_id LONG, offset LONG"
 )
 
-#: Texts whose ids a worker remembers; each entry takes about 250 bytes.
-CACHED_WORDS = 600_000
+#: Words whose ids a worker remembers, older ones included; each takes about 160 bytes.
+CACHED_WORDS = 300_000
+#: Bytes of pieces from which a batch goes to Spark.
+PIECE_BYTES = 1 << 20
 
 _TAIL = re.compile(r"^(.+?)([.,;:!?]+)$", re.DOTALL)
 
@@ -56,6 +59,8 @@ class _WordIds(dict):
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         self.letters = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in letters}
+        #: What was here before the last time this was full; words in use come back from it.
+        self.older: dict[str, bytes] = {}
         self[""] = b""
 
     def _encode(self, word: str) -> bytes:
@@ -69,17 +74,22 @@ class _WordIds(dict):
     def _stays_letters(self, word: str) -> bool:
         return max(word) <= "\xff" or self.tokenizer.normalizer.normalize_str(word).isalpha()
 
-    def __missing__(self, word: str) -> bytes:
+    def _find(self, word: str) -> bytes:
         # Letters and closing marks are split by the tokenizer, so they are kept apart. Some letters
         # are taken apart by its normalisation and end in a mark, which goes with those that follow.
         parts = _TAIL.match(word)
         if parts and parts[1].isalpha() and self._stays_letters(parts[1]):
-            found = self[parts[1]] + self[parts[2]]
-        elif word.isascii() and word != word.lower() and "<|" not in word:
-            found = self[word.lower()]
-        else:
-            found = self._encode(word)
-        if len(self) >= CACHED_WORDS:
+            return self[parts[1]] + self[parts[2]]
+        if word.isascii() and word != word.lower() and "<|" not in word:
+            return self[word.lower()]
+        return self._encode(word)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.pop(word, None)
+        if found is None:
+            found = self._find(word)
+        if len(self) >= CACHED_WORDS // 2:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
         self[word] = found
@@ -250,18 +260,23 @@ def pack_documents(
         columns = list(zip(*rows, strict=True))
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         words = _word_ids(tokenizer_file)
         # A partition's sequences follow each other from its own first id.
         packer = _Packer(capacity, windows, slack, piece, TaskContext.get().partitionId() << 33)
-        rows: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.extend(packer.add(doc_id, encode_text(text.as_py(), words, end_id)))
-                if len(rows) >= 4000:
-                    yield table(rows)
-                    rows = []
-        rows.extend(packer.close())
+                yield from packer.add(doc_id, encode_text(text.as_py(), words, end_id))
+        yield from packer.close()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in pieces(batches):
+            rows.append(row)
+            held += len(row[3]) + 48  # the numbers beside the ids
+            if held >= PIECE_BYTES:
+                yield table(rows)
+                rows, held = [], 0
         if rows:
             yield table(rows)
 

@@ -29,7 +29,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 #: Most bytes of rows that go from Spark to Python at once. By default 10,000 rows do, whatever
 #: their size; a batch of texts is then held several times over, beside the heap.
-BATCH_BYTES_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+BATCH_BYTES_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def bound_batches(spark: SparkSession) -> None:
